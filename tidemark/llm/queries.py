@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, token_count
+from . import byte_bpe, chat, exact_dedup, html_text, license_scan, mixing, quality, token_count, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,17 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(_read(spark, sf_dir, "documents")))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +40,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(ids, path))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assessed = quality.assess(_read(spark, sf_dir, "documents"))
+    return assessed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -37,6 +61,36 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_read(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+             list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS filled FROM d),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, pos, line, len(line) - len(translate(line, '#*$%&|<>', '')) + len(line) - len(replace(line, '!!', '!')) AS sym, string_split_regex(trim(line), ' +') AS lw,
+             string_split_regex(line, ' +') AS lr, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d)),
+v AS (SELECT doc_id, pos, line, filled AND ((sym > 0 AND sym * 3 >= len(lw))
+        OR len(list_filter(string_split_regex(line, '[\s]'), lambda x: regexp_full_match(x, '\||>>?|»|›|·|•|/'))) >= 3
+        OR regexp_matches(line, '(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|(log|sign) in to|sign up for|subscribe to our|click here to|share (this|on) |follow us on|back to top|skip to (main )?content|lorem ipsum)')
+        OR (len(lr) >= 8 AND len(list_distinct(lr)) * 3 < len(lr))) AS fails FROM l),
+k AS (SELECT doc_id, sum(len(line)) FILTER (NOT fails) + greatest(count(*) FILTER (NOT fails) - 1, 0) AS chars FROM v GROUP BY doc_id)
+SELECT w.doc_id, cast(len(words) AS BIGINT) AS n_words, cast(len(array_to_string(words, '')) AS BIGINT) AS word_chars, cast(len(t) - len(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+       cast(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+       len(words) < 50 OR 100 * coalesce(n, 0) > 50 * len(words) AS base_failed,
+       NOT (len(words) < 50 OR 100 * coalesce(n, 0) > 50 * len(words)) AND 1 - coalesce(chars, 0)::DOUBLE / greatest(len(t), 1) <= 0.3 AS kept
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+OP5_SQL = """
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN octet_length(encode(html)) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(html)) >= 100 AND page_id > first THEN first END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+"""
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
@@ -67,10 +121,15 @@ FROM e
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_chat_format": op2_chat_format,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
+    "op6_html_text": op6_html_text,
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -48,6 +48,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches of ``rows`` rows at most, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of this module through Spark's own file systems."""
     jvm = spark.sparkContext._jvm
