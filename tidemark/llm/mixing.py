@@ -42,7 +42,7 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
 
     With caps, the targets are ``least(most * size, level * weight)``. Sorted by the level at
     which they reach their cap, sources fill up one after another, so the level is the first
-    one that its own source does not reach: window sums find it without iterating.
+    one that its own source does not reach, which is the largest of such levels: window sums find it without iterating.
     The table has one row for each source.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
@@ -56,7 +56,7 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
             / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         }
     )
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
     return levels.select("source", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 

@@ -115,7 +115,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, sou
 f AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS fill FROM w),
 l AS (SELECT *, (1.5::DOUBLE * cast(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM f WINDOW b AS (ORDER BY fill, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= fill THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= fill THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM l),
 p AS (SELECT d.*, source_size, target, cast(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM p)
