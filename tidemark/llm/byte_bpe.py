@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import slices
+
 #: Pre-tokens that a worker keeps encoded; beyond it the cache starts anew.
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: Characters whose pre-tokens are looked up together.
 AT_ONCE = 1 << 20
 
@@ -132,7 +134,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         import regex
 
         split, known = regex.compile(pattern).findall, _encoder(model)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(len(kept) if place is None else place)
             packed: list[bytes] = []
             waiting: list[list[str]] = []
@@ -163,10 +165,9 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens.value
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(place)
-            flat, offsets = column.values.to_pylist(), column.offsets.to_pylist()
-            out = [b"".join(map(table.__getitem__, flat[a:b])) for a, b in zip(offsets, offsets[1:])]
+            out = [b"".join(map(table.__getitem__, value.values.to_pylist() if value.is_valid else ())) for value in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*(f.name for f in kept), decoded])
 
     return df.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
