@@ -231,7 +231,7 @@ def extract(html: str | None) -> str:
             if part is best:
                 nodes.append(part)
             elif isinstance(part, Node) and not part.dropped and part.chars:
-                near = part.score * (1 - _density(part)) >= max(5.0, SIBLING * most)
+                near = part.score * (1 - _density(part)) >= max(1.5, SIBLING * most)
                 if near or (re.fullmatch("p|h[1-6]", part.tag) and _density(part) < 0.25):
                     nodes.append(part)
     texts = (" ".join(unescape(block).split()) for block in _blocks(nodes))

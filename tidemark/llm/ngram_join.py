@@ -256,8 +256,8 @@ def _differ_little(pairs: DataFrame, percent: int) -> DataFrame:
 def _links(ids: list[int], sets: list[np.ndarray], copies: list[int], sides: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Smallest linked id within the block, and linked copies, of each set.
 
-    ``sides``: 0 or 1, the half of a pair of blocks; only links between the halves are counted
-    then. Ties of the component are taken from all pairs.
+    ``sides``: 0 or 1 for the halves of a pair of blocks, of which only links between the halves
+    are counted, and 2 in a block on its own. Ties of the component are taken from all pairs.
     """
     size = np.array([len(s) for s in sets], np.int64)
     count = len(sets)
@@ -279,7 +279,7 @@ def _links(ids: list[int], sets: list[np.ndarray], copies: list[int], sides: lis
                 common = size[x] + size[y] - len(np.union1d(sets[x], sets[y]))
                 if 100 * common >= percent * (size[x] + size[y] - common):
                     parent[root(x)] = root(y)
-                    if side[x] != side[y] or side.max() == 0:
+                    if side[x] != side[y] or side[x] == 2:
                         links[x] += weight[y]
                         links[y] += weight[x]
     else:
@@ -304,7 +304,7 @@ def _links(ids: list[int], sets: list[np.ndarray], copies: list[int], sides: lis
             for y in np.flatnonzero(linked[x, :x]).tolist():
                 if root(x) != root(y):
                     parent[root(x)] = root(y)
-        if side.max():
+        if side[0] != 2:
             linked &= side[:, None] != side[None, :]
         links = linked @ weight
     roots = [root(x) for x in range(count)]
@@ -398,7 +398,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     spread = spread.select(
         "key", "sig", "copies",
         F.struct("family", first.alias("x"), second.alias("y")).alias("block"),
-        F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"),
+        F.when(F.col("part") == F.col("other"), 2).when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"),
     ).withColumn("block", F.concat_ws(":", "block.family", "block.x", "block.y"))
     verified = materialize(_verify(spread.join(docs, "key"), width, percent), "ngram-verified")
 
