@@ -65,6 +65,64 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def _license_sql() -> str:
+    """The scan as SQL: places of the phrases, and every block of every notice counted."""
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    parts = []
+    for template in license_scan.TEMPLATES:
+        words = license_scan.words(template.text)
+        if template.exact:
+            same = f"words[i + 1 : i + {len(words)}] = [{quoted(words)}]"
+            parts.append(f"SELECT doc_id, '{template.label}' AS label, i AS place, 1.0::DOUBLE AS part FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w) WHERE {same}")
+        else:
+            tokens, size = sorted(set(words)), 2 << (len(words) - 1).bit_length()
+            part = f"len(list_intersect(words[i + 1 : i + {size}], [{quoted(tokens)}])) / {len(tokens)}.0::DOUBLE"
+            blocks = f"SELECT doc_id, words, unnest(range(0, len(words), {size // 2})) AS i FROM w"
+            parts.append(f"SELECT doc_id, '{template.label}', NULL, part FROM (SELECT doc_id, {part} AS part FROM ({blocks})) WHERE part >= {template.threshold or license_scan.THRESHOLD}")
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (place IS NOT NULL))), ',') AS base_labels,
+             array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(part) AS score FROM m GROUP BY doc_id)
+SELECT w.doc_id, cast(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+OP2_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+t AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS place, lead(role) OVER w IS NULL AS last FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+e AS (SELECT *, CASE WHEN (before IS NULL AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user')
+                     THEN NULL ELSE coalesce(nullif(role, ''), 'no role') || ' after ' || coalesce(nullif(before, ''), 'nothing') END AS wrong FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+             cast(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+             cast(sum(12 + len(role) + 1 + len(text) + len(regexp_extract_all(text, '<\\*\|')) + 10 + 1) AS BIGINT) AS formatted_chars,
+             arg_min(wrong, place) FILTER (wrong IS NOT NULL) AS wrong, max(role) FILTER (last) AS final FROM e GROUP BY conv_id)
+SELECT * EXCLUDE (wrong, final), coalesce(wrong, CASE WHEN final <> 'assistant' THEN 'ends after ' || final END) AS error, wrong IS NULL AND final = 'assistant' AS valid FROM g
+"""
+
+
+OP6_SQL = r"""
+WITH b AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS blocks FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))),
+      lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, cast(len(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.other) AS component_id, coalesce(any_value(k.n), 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM l GROUP BY x) k USING (doc_id) GROUP BY w.doc_id, n.n
+"""
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
@@ -137,4 +195,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
+    "op2_chat_format": OP2_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op5_warc": OP5_SQL,
+    "op6_html_text": OP6_SQL,
+    "op7_ngram_join": OP7_SQL,
+    "op9_exact_dedup": OP9_SQL,
+    "op10_mixing": OP10_SQL,
+}
