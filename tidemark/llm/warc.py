@@ -44,7 +44,8 @@ LEAST = 100
 SHARD_BYTES, SHARDS = 8 << 20, 20_000
 #: Compressed bytes after which a shard goes on in a new file.
 ROLL_BYTES = 32 << 20
-RANGES = 4096
+#: Id ranges of the histogram, of which a shard takes whole ones.
+RANGES = 1 << 16
 
 
 def record_id(page_id: int | None) -> str:
@@ -82,21 +83,26 @@ def _member(data: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def _shards(thin: DataFrame, shard_bytes: int) -> list[int]:
-    """First id of each shard after the first. The histogram has ``RANGES`` rows at most."""
+def _shards(thin: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """The shard of a row, and the number of shards. The histogram has ``RANGES`` rows at most."""
     low, high, total = thin.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + 500)).first()
     if low is None or low == high:
-        return []
+        return F.lit(0), 1
     step = -(-(high - low + 1) // RANGES)
-    ranges = thin.filter(F.col("page_id").isNotNull()).groupBy(F.floor((F.col("page_id") - low) / step).alias("r")).agg(F.sum(F.col("bytes") + 500).alias("bytes"))
+    number = F.floor((F.col("page_id") - low) / step)
+    ranges = thin.filter(F.col("page_id").isNotNull()).groupBy(number.alias("r")).agg(F.sum(F.col("bytes") + 500).alias("bytes"))
+    sizes = {int(r): n for r, n in ranges.collect()}
     goal = max(shard_bytes, -(-total // SHARDS))
-    cuts, held = [], 0
-    for r, n in sorted(tuple(row) for row in ranges.collect()):
-        if held and held + n > goal:
-            cuts.append(low + int(r) * step)
-            held = 0
-        held += n
-    return cuts
+    places, shard, held = [], 0, 0
+    for r in range((high - low) // step + 1):
+        size = sizes.get(r, 0)
+        if held and held + size > goal:
+            shard, held = shard + 1, 0
+        held += size
+        places.append(shard)
+    # one constant array, looked up by the range of the id; null ids go first
+    table = F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>")
+    return F.coalesce(F.get(table, number.cast("int")), F.lit(0)), shard + 1
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -108,13 +114,12 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     firsts = thin.filter(F.col("bytes") >= LEAST).groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     refers = thin.filter(F.col("bytes") >= LEAST).select("page_id", "digest").distinct().join(firsts, "digest")
 
-    cuts = _shards(thin, shard_bytes)
-    shard = _place(cuts)
+    shard, shards = _shards(thin, shard_bytes)
     nothing = F.lit(None)
     rows = pages.select("page_id", "url", content.alias("html"), nothing.cast("string").alias("digest"), nothing.cast("long").alias("first"), F.lit(1).alias("kind"))
     rows = rows.unionByName(refers.select("page_id", nothing.cast("string").alias("url"), nothing.cast("string").alias("html"), "digest", "first", F.lit(0).alias("kind")))
     rows = rows.withColumn("shard", shard.cast("int"))
-    rows = rows.repartitionById(len(cuts) + 1, "shard") if hasattr(rows, "repartitionById") else rows.repartition(len(cuts) + 1, "shard")
+    rows = rows.repartitionById(shards, "shard")
     rows = rows.sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     pending = f"{folder}/_pending"
 
@@ -172,18 +177,6 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     return manifest.drop("pending")
 
 
-def _place(cuts: list[int]) -> Column:
-    """Place of an id among the cuts: a binary search written as nested conditions, as deep as the logarithm of their number."""
-
-    def search(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))) < cuts[middle], search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(cuts))
-
-
 def commit(manifest: DataFrame, folder: str) -> None:
     """Give the files of the manifest their names, drop other pending ones, then put the manifest in place."""
     spark = manifest.sparkSession
