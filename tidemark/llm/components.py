@@ -23,7 +23,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     moved = joined.filter(F.col("v") > F.col("u") if large else F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.filter("a != b").distinct()
+        moved = moved.distinct()
+    return moved.filter("a != b")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -360,6 +360,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     classes = materialize(thin.filter("n > 0 AND key IS NOT NULL").groupBy("sig", "n").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "ngram-classes")
     prefixes = _prefixes(docs.filter("key IS NOT NULL"), width, percent, bits).filter("n > 0")
     prefixes = materialize(prefixes.join(classes.select("key", "sig"), ["key", "sig"], "left_semi").dropDuplicates(["key", "sig"]), "ngram-prefixes")
+    bits.unpersist()
     # groups of identical prefix and size, under the smallest id
     same = F.sha2("prefix", 256)
     members = prefixes.select("key", "sig", "n", same.alias("same"))
@@ -370,16 +371,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     found = materialize(_list_pairs(_entries(groups), percent).filter("a != b"), "ngram-lists")
     ties = found.filter("na IS NULL").select("a", "b").distinct()
-    tied = materialize(components(ties), "ngram-tied")
     pairs = found.filter("na IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     # shingles that only one of the two has: behind the shared ones before their last place, and in
-    # all of the prefix that ends first
+    # all of the prefix that ends first. Pairs that share a shingle of a long list too have more in
+    # common than counted, but ties hold them together already.
     size = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
     apart = F.least(size("na") + F.col("j"), size("nb") + F.col("i")) + 1 - 2 * F.col("c")
     most = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    for end in "ab":
-        pairs = pairs.join(tied.select(F.col("node").alias(end), F.col("component").alias(f"f{end}")), end, "left")
-    pairs = pairs.filter(F.col("fa").isNull() | F.col("fb").isNull() | (F.col("fa") != F.col("fb")))
     pairs = pairs.filter(apart <= most).select("a", "b", "na", "nb")
     short = groups.select("gid", "short")
     for end in "ab":
@@ -400,9 +398,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         F.struct("family", first.alias("x"), second.alias("y")).alias("block"),
         F.when(F.col("part") == F.col("other"), 2).when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"),
     ).withColumn("block", F.concat_ws(":", "block.family", "block.x", "block.y"))
-    verified = materialize(_verify(spread.join(docs, "key"), width, percent), "ngram-verified")
+    # always a sorted join: the same plan at every size
+    verified = materialize(_verify(spread.hint("merge").join(docs, "key"), width, percent), "ngram-verified")
 
-    linked = components(verified.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    linked = verified.select(F.col("key").alias("node"), F.col("least").alias("component")).distinct()
+    if members.filter("parts > 1").limit(1).count():
+        # a large family was compared in several blocks, whose links still have to be joined
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     placed = classes.select("key", "sig", "copies").join(linked.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     placed = placed.select("sig", F.coalesce("component", "key").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
