@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, frontier, merge
-from tidemark.sources.changelog import change_log, row_log, stamped_events, table, with_holes
+from tidemark.sources.changelog import change_log, stamped_events, table
 from tidemark.streaming import feed
 
 from .capture_queries import AFTER, COLUMNS, _orders

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.clock import pack
 from tidemark.operators import frontier
 from tidemark.sources.changelog import change_log, stamped_events, table, with_holes, with_repeats
 

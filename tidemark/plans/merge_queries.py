@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.clock import stamp
 from tidemark.operators import merge
 from tidemark.sources.changelog import change_log, row_log, table, with_holes, with_repeats
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.engine import MergeEngine
-from tidemark.operators import catalog, merge
+from tidemark.operators import catalog
 from tidemark.sources.changelog import change_log, row_log, table
 
 from .merge_queries import ROWS
