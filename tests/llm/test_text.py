@@ -73,9 +73,22 @@ def test_documents_that_lose_too_much_go(spark):
     assert left["text"] == "\n".join(good) and left["n_chars"] == len(left["text"]) and quality.cleaned_documents(docs).columns == docs.columns
 
 
+def test_cleaned_documents_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "\n".join(prose(6)), "en", "s", 0)], SCHEMA).withColumn("kept", F.lit("mine")).withColumn("loss", F.lit(7))
+    (row,) = quality.cleaned_documents(docs).collect()
+    assert (row["kept"], row["loss"]) == ("mine", 7) and quality.cleaned_documents(docs).columns == docs.columns
+
+
+def test_a_filter_does_not_repeat_the_work(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 5000}" for i in range(20000)), "en", "s", 0)], SCHEMA)
+    plan = quality.assess(docs).filter("kept")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws") == 1
+    assert quality.cleaned_documents(docs).count() == 0
+
+
 def test_plan_is_native(spark):
     plan = quality.assess(spark.createDataFrame([(1, "x", "en", "s", 0)], SCHEMA))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange"))
 
 
 def test_pages_of_the_test_data():

@@ -44,6 +44,15 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that later filters cannot take apart.
+
+    A filter on a plain column is pushed below it with its expression copied, arrays that an
+    inner function reads for each element included. What a generator gives stays as it is.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(column.alias(name) for name, column in columns.items())))))
+
+
 def _symbols(column: Column) -> Column:
     return F.length(column) - F.length(F.translate(column, SYMBOLS, ""))
 
@@ -94,14 +103,15 @@ def assess(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_lo
     kept = [c for c in df.columns if c not in ADDED]
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = df.select(*(F.col(f"`{c}`") for c in kept), content.alias("_content"))
-    rows = rows.withColumns({"_words": _words(F.col("_content")), "_lines": F.split("_content", "\n")})
+    rows = _computed(rows, {"_words": _words(F.col("_content")), "_lines": F.split("_content", "\n")})
     has_word = lambda line: F.translate(line, BLANKS, "") != ""
-    rows = rows.withColumns(
+    rows = _computed(
+        rows,
         {
             "_dup": _let(F.filter("_lines", has_word), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))),
             "_good": F.filter("_lines", lambda line: ~(has_word(line) & line_fails(line))),
             "_repeat": repeated_words("_words"),
-        }
+        },
     )
     n_words, n_repeat = F.size("_words").cast("long"), F.col("_repeat").cast("long")
     failed = (n_words < min_words) | (n_repeat * 100 > n_words * 50)
@@ -124,6 +134,7 @@ def assess(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_lo
 
 def cleaned_documents(df: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """The documents that are kept, without the lines that failed; the columns of ``df``."""
-    good = assess(df, text).filter("kept")
+    held = {c: f"_held_{c}" for c in df.columns if c in ADDED}  # their own values, under other names meanwhile
+    good = assess(df.withColumnsRenamed(held), text).filter("kept")
     fresh = {text: F.col("cleaned"), chars: F.length("cleaned").cast("long")}
-    return good.select(*(fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in df.columns))
+    return good.select(*(fresh[c].alias(c) if c in fresh else F.col(f"`{held.get(c, c)}`").alias(c) for c in df.columns))

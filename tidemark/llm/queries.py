@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, exact_dedup, html_text, license_scan, mixing, ngram_join, quality, token_count, warc
 
