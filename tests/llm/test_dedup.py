@@ -122,6 +122,21 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in parent} and len(found) == len(parent)
 
 
+@pytest.mark.parametrize("path", [(1, 5, 3, 6, 2), (1, 5, 2, 6, 3), (2, 7, 4, 8, 1, 6, 3, 5)])
+def test_components_of_a_path_alone(spark, path):
+    found = components(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(x, min(path)) for x in sorted(path)]
+
+
+def test_ngram_join_of_a_chain_alone(spark):
+    words = [f"w{i}" for i in range(140)]
+    rows = [(key, " ".join(words[8 * at : 8 * at + 103])) for at, key in enumerate((1, 5, 3, 6, 2))]
+    expected = joined(rows)
+    assert {r[2] for r in expected} == {1} and {r[0]: r[3] for r in expected} == {1: 1, 5: 2, 3: 2, 6: 2, 2: 1}
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, found.collect())) == expected
+
+
 PAGES = "page_id long, url string, html string"
 
 

@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         current = materialize(_star(_star(current, large=True), large=False), "components")
         centres = current.select(F.col("b").alias("a"))
         moving = current.join(centres, "a", "left_semi").limit(1).count()
-        if not moving:
+        # stars are done when, besides, no node has two centres
+        if not moving and not current.groupBy("a").count().filter("count > 1").limit(1).count():
             break
     else:
         raise RuntimeError(f"no stars after {rounds} rounds")
