@@ -37,6 +37,16 @@ def test_exact_dedup_ties_and_nulls(spark):
     assert exact_dedup.mark_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_exact_dedup_stage_decides_by_row(spark):
+    rows = [(None, "copied"), (9, "Copied"), (None, "alone"), (None, None), (None, ""), (5, "one"), (5, "two"), (8, "ONE"), (4, "again"), (4, "Again"), (4, "again"), (3, "again"), (7, "own"), (7, "own")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("lang", F.lit("x")).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    kept = exact_dedup.without_duplicates(docs)
+    found = collections.Counter((r["doc_id"], (r["text"] or "").translate(LOWER)) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert found == {(9, "copied"): 1, (None, "alone"): 1, (None, ""): 1, (5, "two"): 1, (8, "one"): 1, (4, "again"): 1, (7, "own"): 1}
+    assert exact_dedup.without_duplicates(docs.limit(0)).collect() == []
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()

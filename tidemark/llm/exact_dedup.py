@@ -30,8 +30,13 @@ def normalized(text: str | Column) -> Column:
     return F.translate(F.coalesce(column, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def orderable(df: DataFrame) -> list[str]:
+    """The columns of ``df`` that rows can be sorted by."""
+    return [field.name for field in df.schema if not any(t in field.dataType.simpleString() for t in ("map<", "variant"))]
+
+
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
-    """(key, text_sha256, keep_id, group_size) once for each distinct (key, text) whose text has another row."""
+    """(key, text_sha256, keep_id, group_size, repeats) once for each distinct (key, text) whose text has another row; repeats are its rows."""
     whole = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     thin = materialize(
         whole.select("key", F.octet_length("text").alias("bytes"), F.xxhash64(normalized(F.substring("text", 1, head))).alias("head")),
@@ -45,7 +50,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", head: i
         "exact-full",
     )
     groups = full.groupBy("text_sha256").agg(F.max("key").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    return full.distinct().join(groups, "text_sha256").select(F.col("key").alias(key), "text_sha256", "keep_id", "group_size")
+    rows = full.groupBy("key", "text_sha256").agg(F.count("*").alias("repeats"))
+    return rows.join(groups, "text_sha256").select(F.col("key").alias(key), "text_sha256", "keep_id", "group_size", "repeats")
 
 
 def mark_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,6 +74,16 @@ def mark_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def without_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; keys must be unique."""
-    dropped = exact_groups(df, key, text).filter(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias("_key"))
-    return df.join(dropped, df[key].eqNullSafe(dropped["_key"]), "left_anti")
+    """The rows of ``df`` that stay, with all their columns: one of each text.
+
+    Of repeated rows with the key that stays, the first one by text and then by the other columns stays.
+    """
+    stays = F.col(key).eqNullSafe(F.col("keep_id"))
+    found = exact_groups(df, key, text).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"), stays.alias("_stays"), F.col("repeats").alias("_repeats"))
+    found = materialize(found.filter("NOT _stays OR _repeats > 1"), "exact-found")
+    same = df[key].eqNullSafe(found["_key"]) & (F.sha2(normalized(df[text]), 256) == found["_sha"])
+    alone = df.join(found, same, "left_anti")
+    repeated = df.join(found.filter("_stays"), same).select("_key", "_sha", F.struct(*(df[c] for c in df.columns)).alias("_row"))
+    order = F.struct(*(f"_row.`{c}`" for c in [text, *orderable(df)]))
+    one = repeated.groupBy("_key", "_sha").agg(F.min_by("_row", order).alias("_row"))
+    return alone.unionByName(one.select("_row.*"))
