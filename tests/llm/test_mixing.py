@@ -1,3 +1,6 @@
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +58,29 @@ def test_defined_results(spark):
     assert sorted((r["doc_id"] or 0, r["size"]) for r in found) == [(0, 0), (1, 0), (2, 2), (2, 2), (3, 1)]
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     assert mixing.mixed_rows(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "source", "lang"]
+
+
+def test_mixed_rows_of_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3]), " ".join(["w"] * rng.randint(1, 3)), rng.choice([None, "a", "b"]), rng.choice("xy")) for _ in range(120)]
+    rows += [(7, "the same row", "a", "x")] * 50 + [(i, f"text {i}", "c", "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mixed = mixing.mix(docs).collect()
+    found = mixing.mixed_rows(docs)
+    taken = collections.Counter(tuple(r) for r in found.collect())
+    by_id = collections.Counter()
+    for row, n in taken.items():
+        by_id[row[0]] += n
+    expected = collections.Counter()
+    for r in mixed:
+        expected[r["doc_id"]] += r["copies"]
+    assert found.columns == docs.columns and by_id == +expected
+    assert all(n <= 2 * rows.count(row) for row, n in taken.items())
+    words = collections.Counter()
+    for row, n in taken.items():
+        words[row[2]] += n * len(row[1].split())
+    targets = {r["source_size"]: r["target"] for r in mixed}
+    sizes = collections.Counter()
+    for row in rows:
+        sizes[row[2]] += len(row[1].split())
+    assert all(abs(words[s] - targets[sizes[s]]) <= 3 for s in sizes)

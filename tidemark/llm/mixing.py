@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exact_dedup import orderable
 from .store import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -60,10 +61,10 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     return levels.select("source", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
-def mix(
+def _placed(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """(key, size, source_size, target, copies, taken) of every row."""
+    """(key, source, tie, size, source_size, target, copies) of every row; tie is the hash of its text."""
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     thin = materialize(
         df.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), digest.alias("order"), F.xxhash64(text).alias("tie")),
@@ -85,12 +86,29 @@ def mix(
     placed = placed.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     middle = F.col("ahead") + F.col("inside") + F.col("size") / 2
     copies = (F.col("epochs") + F.when((F.col("source_size") > 0) & (F.col("epochs") < most) & (middle <= F.col("rest")), 1).otherwise(0)).cast("long")
-    placed = placed.withColumn("copies", copies)
+    return placed.select("key", "source", "tie", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """(key, size, source_size, target, copies, taken) of every row."""
+    placed = _placed(df, key, text, source, weights, share, most, seed, bucket_rows)
     return placed.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it; keys must be unique."""
-    copies = mix(df, key, text, source).filter("copies > 0").select(F.col(key).alias("_key"), F.col("copies").alias("_copies"))
-    joined = df.join(copies, df[key].eqNullSafe(copies["_key"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(df[c] for c in df.columns))
+    """The rows of ``df``, each as often as the mix takes it.
+
+    Rows with one key, source and text are interchangeable, so their copies are counted together.
+    They follow each other in the mix: in each source, the cut parts the rows of one such group at most.
+    """
+    counts = _placed(df, key, text, source).groupBy("key", "source", "tie").agg(F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    counts = materialize(counts.filter("_most > 0").withColumnsRenamed({"key": "_key", "source": "_source", "tie": "_tie"}), "mix-counts")
+    same = df[key].eqNullSafe(counts["_key"]) & df[source].eqNullSafe(counts["_source"]) & (F.xxhash64(df[text]) == counts["_tie"])
+    whole = df.join(counts.filter("_least = _most"), same).withColumn("_copies", F.col("_most"))
+    turn = F.row_number().over(Window.partitionBy("_key", "_source", "_tie").orderBy(*(f"`{c}`" for c in orderable(df))))
+    more = F.when(turn <= F.col("_sum") - F.col("_least") * F.col("_rows"), 1).otherwise(0)
+    parted = df.join(F.broadcast(counts.filter("_least < _most")), same).withColumn("_copies", F.col("_least") + more).filter("_copies > 0")
+    joined = whole.unionByName(parted)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(f"`{c}`" for c in df.columns))
