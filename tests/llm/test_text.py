@@ -63,6 +63,19 @@ def test_line_rules(spark, line, fails):
     assert (line not in row["cleaned"].split("\n")) == fails and row["kept"]
 
 
+def test_long_clean_lines_stay(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(20000)) + "."
+    once = " ".join(f"v{i}" for i in range(200)) + " and see the privacy policy before you sign in to it."
+    spam = " ".join(["buy this fine thing here now or later"] * 2500)
+    footer = "Read our privacy policy, our cookie policy and the terms of use, all rights reserved, then go back to top of this page and sign up for the daily mail."
+    rows = [(1, long, "en", "s", 0), (2, once, "en", "s", 0), (3, long + " Then sign in to read on.", "en", "s", 0), (4, spam, "en", "s", 0), (5, "\n".join([*prose(8), footer]), "en", "s", 0)]
+    found = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: r["kept"] for i, r in found.items()} == {1: True, 2: True, 3: True, 4: False, 5: True}
+    assert all(found[i]["loss"] == 0 for i in (1, 2, 3)) and found[4]["loss"] == 1 and found[5]["cleaned"] == "\n".join(prose(8))
+
+
 def test_documents_that_lose_too_much_go(spark):
     nav = "Home | News | Sport | About | Contact | Help | Terms | Jobs"
     good = prose(5)

@@ -3,10 +3,12 @@
 Every line of a text is tested by three rules:
 
 * punctuation: symbol characters or doubled exclamation marks at the rate of one for each
-  ``symbol_every`` words or more, or a line of ``open_words`` words or more without closing
-  punctuation whose words are mostly repeats;
+  ``SYMBOL_EVERY`` words or more;
 * navigation: three or more stand-alone separators (``|``, ``>>`` and the like);
-* boilerplate: a phrase of site furniture, or words that are mostly repeats of each other.
+* boilerplate: phrases of site furniture at the rate of one for each ``FURNITURE_EVERY`` words
+  or more, or more than half of the words inside repeated 3-word windows.
+
+All of them are rates, which do not change with the length of the line.
 
 Lines that fail are removed. A document is rejected when the removed lines held more than
 ``max_loss`` of its characters, and in any case when the base rules fail it: fewer than
@@ -29,8 +31,10 @@ MIN_WORDS = 50
 MAX_LOSS = 0.3
 #: A line fails when it has one symbol for so many words, or more.
 SYMBOL_EVERY = 3
-#: A line of so many words or more fails when fewer than a third of them are distinct.
+#: A line of so many words or more fails when more than half of them are inside repeated windows.
 REPEAT_WORDS = 8
+#: A line fails when it has one phrase of site furniture for so many words, or more.
+FURNITURE_EVERY = 20
 FURNITURE = (
     "(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|"
     "(log|sign) in to|sign up for|subscribe to our|click here to|share (this|on) |follow us on|back to top|skip to (main )?content|lorem ipsum)"
@@ -61,14 +65,12 @@ def _words(column: Column) -> Column:
     return F.filter(F.split(column, SPACE), lambda w: w != "")
 
 
-def repeated_words(words: str) -> Column:
-    """Words of the array column ``words`` in 3-word windows that occur twice or more in it.
+def _covered(windows: Column) -> Column:
+    """Words covered by those 3-word windows of the array that occur twice or more in it.
 
     Windows are sorted by text; a window with an equal neighbour repeats. The starts of those
     windows, sorted, each cover three words, less what the next one covers as well.
     """
-    word = F.col(words)
-    windows = F.transform(F.slice(word, 1, F.greatest(F.size(word) - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", w, word[i + 1], word[i + 2]))
 
     def starts(keys: Column) -> Column:
         placed = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
@@ -88,14 +90,36 @@ def repeated_words(words: str) -> Column:
     return _let(windows, lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), _let(starts(k), covered)).otherwise(0))
 
 
+def _heads(words: Column) -> Column:
+    """The words that start a 3-word window."""
+    return F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+
+
+def repeated_words(words: str) -> Column:
+    """Words of the array column ``words`` in 3-word windows that occur twice or more in it."""
+    word = F.col(words)
+    return _covered(F.transform(_heads(word), lambda w, i: F.concat_ws(" ", w, word[i + 1], word[i + 2])))
+
+
+def _mostly_repeats(words: Column) -> Column:
+    """Whether more than half of the words of the array are inside repeated windows.
+
+    Each such word occurs twice or more, so that fewer than 3/4 of all words are distinct then;
+    lines with more need no windows.
+    """
+    windows = F.transform(_heads(words), lambda w, i: F.concat(w, F.lit(" "), words[i + 1], F.lit(" "), words[i + 2]))
+    return (F.size(F.array_distinct(words)) * 4 < F.size(words) * 3) & (_covered(windows) * 2 > F.size(words))
+
+
 def line_fails(line: Column) -> Column:
     """Whether the line, which holds a word, fails a rule."""
     n_words = F.size(F.split(F.trim(line), " +"))
     symbols = _symbols(line) + F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
     punctuation = symbols * SYMBOL_EVERY >= n_words
     navigation = F.length(F.regexp_replace(line, r"(^|\s)(\||>>?|»|›|·|•|/)(?=\s|$)", "$1$2\u0001")) - F.length(line) >= 3
-    repeats = F.exists(F.array(F.split(line, " +")), lambda w: (F.size(w) >= REPEAT_WORDS) & (F.size(F.array_distinct(w)) * 3 < F.size(w)))
-    return ((symbols > 0) & punctuation) | navigation | line.rlike(FURNITURE) | repeats
+    furniture = line.rlike(FURNITURE) & (F.regexp_count(line, F.lit(FURNITURE)) * FURNITURE_EVERY >= n_words)
+    repeats = F.exists(F.array(_words(line)), lambda w: (F.size(w) >= REPEAT_WORDS) & _mostly_repeats(w))
+    return ((symbols > 0) & punctuation) | navigation | furniture | repeats
 
 
 def assess(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_loss: float = MAX_LOSS) -> DataFrame:
