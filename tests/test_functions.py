@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import MergeEngine
 from tidemark.functions import clock, codec, ids, predicate
-from tidemark.operators import catalog, ranges
+from tidemark.operators import audit, catalog, ranges
 
 
 def test_crc64_of_the_usual_check_text():
@@ -116,3 +116,15 @@ def test_engine_surface(spark):
     assert {r["origin"]: r["lag"] for r in engine.health(tips).collect()} == {1: 0, 2: 3}
     with pytest.raises(ValueError):
         MergeEngine(spark, log, group="table")
+
+
+@pytest.mark.parametrize("most", [2, None])
+def test_quarantine_over_the_cap_halts_the_origin(spark, most):
+    rows = [(o, seq, seq % 2 == 0) for o in (1, None) for seq in range(1, 301)] + [(2, 1, False), (2, 2, True), (2, 3, False)]
+    records = spark.createDataFrame(rows, "origin long, seq long, bad boolean")
+    outputs = audit.quarantine(records, F.when(F.col("bad"), "bad"), *([] if most is None else [most]))
+    applied, aside, halted = (sorted(((r["origin"], r["seq"]) for r in df.collect()), key=str) for df in outputs)
+    halt = 2 * ((most or 128) + 1)
+    assert applied == sorted(((o, s) for o, s, bad in rows if not bad and (o == 2 or s < halt)), key=str)
+    assert aside == sorted(((o, s) for o, s, bad in rows if bad and (o == 2 or s < halt)), key=str)
+    assert halted == sorted(((o, s) for o, s, _ in rows if o != 2 and s >= halt), key=str)

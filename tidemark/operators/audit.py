@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Quarantined records of an origin that do not halt it yet.
+DEFAULT_CAP = 128
+
 
 def conflicts(log: DataFrame, registers: Sequence[str] = ("a", "b")) -> DataFrame:
     """(pk, loser and winner dots and stamps, kind, op, cols): every record another origin's winner discarded.
@@ -47,12 +50,21 @@ def lost_columns(losers: DataFrame, winners: DataFrame, key: str, columns: Seque
     return joined.select(key, F.explode(pairs).alias("p")).filter("NOT (p.lost <=> p.won)").select(key, "p.col", "p.lost", "p.won")
 
 
-def quarantine(records: DataFrame, reason: Column, most: int) -> tuple[DataFrame, DataFrame]:
-    """(applied, quarantined): valid records, and invalid ones with their reason, the first ``most`` of each origin."""
+def quarantine(records: DataFrame, reason: Column, most: int = DEFAULT_CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(applied, quarantined, halted): each record is in one of them.
+
+    Invalid records are set aside with their reason, the first ``most`` of each origin. The next
+    one halts its origin: it and all later records, valid ones (whose reason is null) included, wait.
+    """
     judged = records.withColumn("reason", reason)
-    bad = judged.filter("reason IS NOT NULL")
     first = Window.partitionBy("origin").orderBy("seq")
-    return judged.filter("reason IS NULL").drop("reason"), bad.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
+    bad = judged.filter("reason IS NOT NULL").withColumn("_n", F.row_number().over(first))
+    over = bad.filter(F.col("_n") > most)
+    halts = over.groupBy("origin").agg(F.min("seq").alias("_halt")).withColumnRenamed("origin", "_origin")
+    valid = judged.filter("reason IS NULL").join(halts, F.col("origin").eqNullSafe(F.col("_origin")), "left")
+    waits = F.coalesce(F.col("seq") >= F.col("_halt"), F.lit(False))
+    halted = over.drop("_n").unionByName(valid.filter(waits).drop("_origin", "_halt"))
+    return valid.filter(~waits).drop("reason", "_origin", "_halt"), bad.filter(F.col("_n") <= most).drop("_n"), halted
 
 
 def quarantine_stats(quarantined: DataFrame) -> DataFrame:
