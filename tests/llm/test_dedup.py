@@ -114,6 +114,13 @@ def test_ngram_join_defined_results(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_ngram_join_of_an_id_with_several_texts(spark):
+    long = lambda name, more: " ".join([f"{name}{i}" for i in range(60)] + more)
+    rows = [(7, long("a", [])), (7, long("b", [])), (3, long("a", ["x"])), (5, long("b", ["y"])), (7, ""), (2, long("c", [])), (9, long("c", [])), (9, long("d", []))]
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, found)) == [(2, 57, 2, 1), (3, 58, 3, 1), (5, 58, 3, 1), (7, 0, 3, 0), (7, 57, 3, 1), (7, 57, 3, 1), (9, 57, 2, 0), (9, 57, 2, 1)]
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)] + [(500, 500 + i) for i in range(1, 40)]

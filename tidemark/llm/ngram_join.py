@@ -315,16 +315,16 @@ def _links(ids: list[int], sets: list[np.ndarray], copies: list[int], sides: lis
 
 
 def _verify(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, least, links) of the members (block, side, key, sig, copies, text) within each block."""
+    """(key, sig, least, links) of the members (block, side, key, sig, copies, text) within each block."""
     dealt = members.repartition("block").sortWithinPartitions("block", "key", "side")
-    names = ["key", "least", "links"]
+    names = ["key", "sig", "least", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, sets, copies, sides, seen = None, [], [], [], [], set()
+        block, ids, sigs, sets, copies, sides, seen = None, [], [], [], [], [], set()
 
         def made() -> pa.RecordBatch:
             least, links = _links(ids, sets, copies, sides, percent)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(least), pa.array(links)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(least), pa.array(links)], names=names)
 
         for batch in slices(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in range(5)), shingle_sets(batch.column(5), width))
@@ -332,19 +332,20 @@ def _verify(members: DataFrame, width: int, percent: int) -> DataFrame:
                 if at != block:
                     if ids:
                         yield made()
-                    block, ids, sets, copies, sides, seen = at, [], [], [], [], set()
+                    block, ids, sigs, sets, copies, sides, seen = at, [], [], [], [], [], set()
                 # a repeated id with another text is another class; rows that repeat come once
                 if (key, sig) in seen or _signature(values) != sig:
                     continue
                 seen.add((key, sig))
                 ids.append(key)
+                sigs.append(sig)
                 sets.append(values)
                 copies.append(n)
                 sides.append(side)
         if ids:
             yield made()
 
-    return dealt.select("block", "side", "key", "sig", "copies", "text").mapInArrow(run, "key long, least long, links long")
+    return dealt.select("block", "side", "key", "sig", "copies", "text").mapInArrow(run, "key long, sig binary, least long, links long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -401,14 +402,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     # always a sorted join: the same plan at every size
     verified = materialize(_verify(spread.hint("merge").join(docs, "key"), width, percent), "ngram-verified")
 
-    linked = verified.select(F.col("key").alias("node"), F.col("least").alias("component")).distinct()
-    if members.filter("parts > 1").limit(1).count():
-        # a large family was compared in several blocks, whose links still have to be joined
-        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    links = verified.groupBy("key").agg(F.sum("links").alias("links"))
-    placed = classes.select("key", "sig", "copies").join(linked.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
+    # stars of blocks meet in an id that several of them hold; rows that repeat an id tie the classes of their texts
+    worded = thin.filter("n > 0 AND key IS NOT NULL").select("key", "sig")
+    repeated = worded.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low < high").select("key")
+    tied = worded.join(repeated, "key", "left_semi").distinct().join(classes.select("sig", F.col("key").alias("b")), "sig")
+    linked = components(verified.select(F.col("key").alias("a"), F.col("least").alias("b")).unionByName(tied.select(F.col("key").alias("a"), "b")))
+    linked = linked.select(F.col("node").alias("key"), "component")
+    links = verified.groupBy("key", "sig").agg(F.sum("links").alias("links"))
+    placed = classes.select("key", "sig", "copies").join(linked, "key", "left").join(links, ["key", "sig"], "left")
     placed = placed.select("sig", F.coalesce("component", "key").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    own = thin.filter("n = 0 OR key IS NULL").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    own = thin.filter("n = 0 AND key IS NOT NULL").join(linked, "key", "left").select("key", "n", "component")
+    own = own.unionByName(thin.filter("key IS NULL").select("key", "n", F.col("key").alias("component")))
+    own = own.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     rest = thin.filter("n > 0 AND key IS NOT NULL").join(placed, "sig").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("n_links").cast("long"))
     return own.unionByName(rest)
 
