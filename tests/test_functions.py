@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import MergeEngine
 from tidemark.functions import clock, codec, ids, predicate
-from tidemark.operators import audit, catalog, ranges
+from tidemark.operators import audit, catalog, placing, ranges, unique
 
 
 def test_crc64_of_the_usual_check_text():
@@ -128,3 +128,71 @@ def test_quarantine_over_the_cap_halts_the_origin(spark, most):
     assert applied == sorted(((o, s) for o, s, bad in rows if not bad and (o == 2 or s < halt)), key=str)
     assert aside == sorted(((o, s) for o, s, bad in rows if bad and (o == 2 or s < halt)), key=str)
     assert halted == sorted(((o, s) for o, s, _ in rows if o != 2 and s >= halt), key=str)
+
+
+def serial(claims, taken, held, fenced, servable, now):
+    """The registry as one actor: transactions in order, each against the state the ones before left."""
+    state, out = dict(taken), {}
+    for txn in sorted({c[0] for c in claims}):
+        batch, said = {}, "granted"
+        for _, _, key, val, owner, prev in sorted(c for c in claims if c[0] == txn):
+            hold = held.get(val)
+            if key not in servable:
+                said = "not serving"
+            elif val in fenced or batch.get(val, owner) != owner:
+                said = "conflict"
+            elif val in state:
+                said = said if state[val] in (owner, prev) else "conflict"
+            elif hold and hold[0] != owner and hold[1] > now:
+                said = "conflict"
+            if said != "granted":
+                break
+            batch[val] = owner
+        if said == "granted":
+            state |= batch
+        out[txn] = said
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reservations_equal_a_serial_registry(spark, seed):
+    rng = random.Random(seed)
+    claims = [(t, o, rng.choice("kkkx"), rng.randint(0, 12), rng.randint(1, 4), rng.choice([None, 1, 2])) for t in range(40) for o in range(rng.randint(1, 3))]
+    # two transactions, then two owners in one, ask for a value that is free
+    claims += [(100, 0, "k", 50, 1, None), (101, 0, "k", 50, 2, None), (102, 0, "k", 50, 2, 1), (103, 0, "k", 51, 1, None), (103, 1, "k", 51, 2, None), (104, 0, "k", 51, 4, None)]
+    taken, held, fenced = {0: 1, 1: 2}, {2: (1, 500), 3: (2, 50)}, {4}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = unique.reserve(
+        frame(claims, "txn long, ord int, key string, val long, owner long, prev long"),
+        frame(list(taken.items()), "val long, owner long"),
+        frame([(v, *h) for v, h in held.items()], "val long, owner long, until long"),
+        frame([(v,) for v in fenced], "val long"),
+        frame([("k",)], "key string"),
+        now=100,
+    ).collect()
+    expected = serial(claims, taken, held, fenced, {"k"}, 100)
+    assert {r["txn"]: r["outcome"] for r in found} == expected and all(r["granted"] == (r["outcome"] == "granted") for r in found)
+    assert [expected[t] for t in range(100, 105)] == ["granted", "conflict", "granted", "conflict", "granted"]
+
+
+def test_running_and_scan_equal_windows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("aab"), i, rng.choice([None, rng.randint(0, 99)]), rng.randint(1, 9)) for i in range(200)] + [(None, 500, 1, 1), (None, 501, 2, 2)]
+    df = spark.createDataFrame(rows, "g string, at long, v long, n long").repartition(3)
+    placed = placing.running(df, ["g", "at"], {"ahead": "n"}, ranges=7)
+    expected, total = [], 0
+    for place, (g, at, _, n) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])), 1):
+        expected.append((at, place, total))
+        total += n
+    assert sorted((r["at"], r["place"], r["ahead"]) for r in placed.collect()) == sorted(expected)
+    few = placing.running(df, ["g", "at"], {"ahead": "n"}, most=len(rows))
+    assert sorted((r["at"], r["place"], r["ahead"]) for r in few.collect()) == sorted(expected)
+
+    found = placing.scan(df, ["g"], ["at"], lags={"was": "v"}, maxes={"top": "v"}, sums={"ahead": "n"}, ranges=9)
+    expected = []
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        for i, r in enumerate(own):
+            values = [x[2] for x in own[:i] if x[2] is not None]
+            expected.append((r[1], own[i - 1][2] if i else None, max(values, default=None), sum(x[3] for x in own[:i])))
+    assert sorted(map(str, ((r["at"], r["was"], r["top"], r["ahead"]) for r in found.collect()))) == sorted(map(str, expected))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.placing import running
+
 COUNTER_BITS, SLICE_BITS = 33, 47
 
 
@@ -34,18 +36,10 @@ def with_uuid7(df: DataFrame, name: str) -> DataFrame:
 def with_gen_id(df: DataFrame, order: str, partition: int, name: str = "id") -> DataFrame:
     """Adds ids of one 30-bit random partition: a 33-bit counter in ``order``.
 
-    The counter is dense over the whole table: rows are ranged by ``order``, the sizes of the
-    ranges (a row each) give their offsets.
+    The counter is dense over the whole table (see ``placing``).
     """
-    from pyspark.sql import Window
-
-    rows = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
-    rows = rows.withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
-    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
     base = F.shiftleft(F.lit(partition).cast("long"), COUNTER_BITS)
-    return rows.join(sizes, "_p").withColumn(name, base + F.col("_ahead") + F.col("_r") + 1).drop("_m", "_p", "_r", "_ahead")
+    return running(df, [order], place="_place").withColumn(name, base + F.col("_place")).drop("_place")
 
 
 def id_slice(ordinal: Column) -> tuple[Column, Column]:

@@ -10,9 +10,11 @@ import re
 import string
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.placing import running
+
 #: Fixed value: nodes a predicate may have.
 MOST_NODES = 256
 COMPARISONS = ("=", "<>", "<=", ">=", "<", ">")
@@ -40,6 +42,8 @@ def _column(tree: tuple) -> Column:
     if kind in ("is_null", "not_null"):
         return column.isNull() if kind == "is_null" else column.isNotNull()
     if kind in ("in", "not_in"):
+        if not tree[2]:  # in nothing, whatever the value
+            return F.lit(kind == "not_in")
         # spelled out, so that a null literal makes a miss unknown
         found = reduce(lambda a, b: a | b, (column == F.lit(v) for v in tree[2]))
         return found if kind == "in" else ~found
@@ -69,8 +73,7 @@ def render(tree: tuple) -> str:
         return f"{tree[1]} IS {'NOT ' * (kind == 'not_null')}NULL"
     if kind in ("in", "not_in"):
         return f"{tree[1]} {'NOT ' * (kind == 'not_in')}IN ({', '.join(map(_literal, tree[2]))})"
-    value = _literal(tree[2]).replace("''", "\\'") if isinstance(tree[2], str) else _literal(tree[2])
-    return f"{tree[1]} {kind} {value}"
+    return f"{tree[1]} {kind} {_literal(tree[2])}"
 
 
 _TOKENS = re.compile(r"\s*(?:(<>|<=|>=|[=<>(),])|('(?:[^']|'')*')|(-?\d+(?:\.\d+)?)|([A-Za-z_]\w*))")
@@ -171,12 +174,9 @@ def collate(column: Column, name: str) -> Column:
 
 
 def ranked(df: DataFrame, tag: str, number: str, text: str, tie: str) -> DataFrame:
-    """Adds place: values of mixed classes in order, numbers before text before blobs.
-
-    Places run over the whole table, so the final numbering is one ordered pass.
-    """
+    """Adds place: values of mixed classes in order, numbers before text before blobs."""
     rank = F.when(F.col(tag).isin(1, 2), 1).when(F.col(tag) == 3, 2).when(F.col(tag) == 4, 3).otherwise(0)
-    return df.withColumn("place", F.row_number().over(Window.orderBy(rank, F.col(number).asc_nulls_first(), F.col(text).asc_nulls_first(), tie)).cast("long"))
+    return running(df, [rank, F.col(number).asc_nulls_first(), F.col(text).asc_nulls_first(), tie])
 
 
 def affinity(declared: Column) -> Column:

@@ -1,6 +1,7 @@
 """What a replica has: contiguous heads, gaps, and plans to fetch what is missing.
 
-Sets of sequence numbers are rows (origin, lo, hi) of inclusive ranges.
+Sets of sequence numbers are rows (origin, lo, hi) of inclusive ranges. What follows a writer's
+log in order is a sweep over ranges of the sort (see ``placing``), so one writer takes many tasks.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.workspace import materialize
+
+from .placing import running, scan
 from .ranges import coalesce_ranges
 
 
 def ranges_of(dots: DataFrame, key: str = "origin", seq: str = "seq") -> DataFrame:
     """(key, lo, hi): the distinct seqs of each origin as ranges."""
-    rows = dots.select(key, seq).distinct()
-    rows = rows.withColumn("_island", F.col(seq) - F.row_number().over(Window.partitionBy(key).orderBy(seq)))
+    # places go up by one with every row, so seq less place is the same all along a range
+    rows = running(dots.select(key, seq).distinct(), [key, seq], place="_place").withColumn("_island", F.col(seq) - F.col("_place"))
     return rows.groupBy(key, "_island").agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).drop("_island")
 
 
@@ -32,12 +36,14 @@ def unseen(dots: DataFrame, applied: DataFrame, own: int | None = None) -> DataF
 
 
 def missing(held: DataFrame, tips: DataFrame, key: str = "origin") -> DataFrame:
-    """(key, lo, hi): what is missing of 1 to the tip of each origin; ``tips`` (key, tip)."""
-    bound = tips.select(key, F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "tip")
-    rows = bound.unionByName(held.join(tips, key).filter("lo <= tip").select(key, "lo", "hi", "tip"))
-    by = Window.partitionBy(key).orderBy("lo", "hi")
-    rows = rows.withColumn("next", F.coalesce(F.lead("lo").over(by) - 1, F.col("tip")))
-    return rows.filter("next > hi").select(key, (F.col("hi") + 1).alias("lo"), F.col("next").alias("hi"))
+    """(key, lo, hi): what is missing of 1 to the tip of each origin; ``tips`` (key, tip).
+
+    In front of each range, and of what lies behind the tip, is a gap if the range before ends earlier.
+    """
+    ends = tips.select(key, (F.col("tip") + 1).alias("lo"), F.lit(None).cast("long").alias("hi"))
+    rows = scan(held.select(key, "lo", "hi").unionByName(ends), [key], ["lo", F.col("hi").asc_nulls_first()], maxes={"reach": "hi"})
+    gaps = rows.select(key, (F.coalesce("reach", F.lit(0)) + 1).alias("lo"), (F.col("lo") - 1).alias("hi")).join(tips, key)
+    return gaps.filter("lo <= hi AND lo <= tip").select(key, "lo", F.least("hi", "tip").alias("hi"))
 
 
 def retention_heads(held: DataFrame, own: int) -> DataFrame:
@@ -53,14 +59,35 @@ def merge_tips(*tips: DataFrame) -> DataFrame:
     return every.groupBy("origin").agg(F.max("tip").alias("tip"))
 
 
-def plan(held: DataFrame, tips: DataFrame, coverage: DataFrame, most: int) -> DataFrame:
-    """(origin, lo, hi, serveable, place): missing ranges, those a source covers in part first, at most ``most`` of them."""
+def meets(ranges: DataFrame, others: DataFrame, key: str = "origin") -> DataFrame:
+    """``ranges`` (key, lo, hi, …) with met: whether one of ``others`` (key, lo, hi) overlaps it.
+
+    One does if, of those that begin at or before the end of the range, the one that reaches farthest reaches its start.
+    """
+    rest = [c for c in ranges.columns if c not in (key, "lo", "hi")]
+    mine = ranges.select(key, F.col("hi").alias("_at"), F.lit(1).alias("_kind"), F.struct("lo", "hi", *rest).alias("_row"), F.lit(None).cast("long").alias("_reach"))
+    theirs = others.select(key, F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), F.col("hi").alias("_reach"))
+    swept = scan(mine.unionByName(theirs), [key], ["_at", "_kind"], maxes={"_far": "_reach"}).filter("_kind = 1")
+    return swept.select(key, "_row.*", F.coalesce(F.col("_far") >= F.col("_row.lo"), F.lit(False)).alias("met"))
+
+
+def plan(held: DataFrame, tips: DataFrame, coverage: DataFrame | None, most: int, own: int | None = None) -> DataFrame:
+    """(origin, lo, hi, serveable, place): missing ranges of the other origins, in order, ``most`` of those to fetch now and as many that no source covers.
+
+    A range that a source covers in part is fetched; one that none does is only probed for. Without a
+    ``coverage`` nothing is known to be out of reach, so all of them are fetched. Places count within each kind.
+    """
     wanted = missing(held, tips)
-    covered = coverage.select(F.col("origin").alias("_origin"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    overlap = (F.col("origin") == F.col("_origin")) & (F.col("lo") <= F.col("_hi")) & (F.col("hi") >= F.col("_lo"))
-    ranked = wanted.join(covered, overlap, "left_semi").withColumn("serveable", F.lit(True)).unionByName(wanted.join(covered, overlap, "left_anti").withColumn("serveable", F.lit(False)))
-    first = ranked.orderBy(F.col("serveable").desc(), "origin", "lo").limit(most)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("serveable").desc(), "origin", "lo")).cast("long"))
+    if own is not None:
+        wanted = wanted.filter(F.col("origin") != own)
+    if coverage is None:
+        judged = wanted.withColumn("serveable", F.lit(True))
+    else:
+        judged = meets(wanted, coverage.select("origin", "lo", "hi")).withColumnRenamed("met", "serveable")
+    judged = materialize(judged, "plan")
+    taken = [judged.filter(kind).orderBy("origin", "lo").limit(most) for kind in (F.col("serveable"), ~F.col("serveable"))]
+    # a plan is a request, of twice ``most`` rows
+    return taken[0].unionByName(taken[1]).withColumn("place", F.row_number().over(Window.partitionBy("serveable").orderBy("origin", "lo")).cast("long"))
 
 
 def merge_intervals(intervals: DataFrame, key: Sequence[str] = ("origin",)) -> DataFrame:
@@ -86,10 +113,11 @@ def backoff(failures: Column, base_ms: int, most_ms: int) -> Column:
 
 def serve(records: DataFrame, wanted: DataFrame, most_records: int, most_bytes: int) -> DataFrame:
     """Records of the wanted ranges in order, per origin until a cap on records or bytes is met; the first is always served."""
-    inside = records.join(wanted, "origin").filter("seq BETWEEN lo AND hi").drop("lo", "hi")
-    by = Window.partitionBy("origin").orderBy("seq")
-    sums = {"_n": F.row_number().over(by), "_bytes": F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
-    return inside.withColumns(sums).filter((F.col("_n") == 1) | ((F.col("_n") <= most_records) & (F.col("_bytes") <= most_bytes))).drop("_n", "_bytes")
+    points = records.withColumns({"lo": F.col("seq"), "hi": F.col("seq")})
+    inside = meets(points, wanted).filter("met").select(*records.columns, F.lit(1).alias("_one"))
+    sums = scan(inside, ["origin"], ["seq"], sums={"_n": "_one", "_ahead": "bytes"})
+    within = (F.col("_n") < most_records) & (F.col("_ahead") + F.col("bytes") <= most_bytes)
+    return sums.filter((F.col("_n") == 0) | within).drop("_n", "_ahead", "_one")
 
 
 def all_peers_applied(peers: DataFrame, heads_: DataFrame) -> DataFrame:

@@ -59,18 +59,25 @@ def fr6(spark, d):
     return frontier.retention_heads(_held(spark, d), own=1)
 
 
+COVERAGE = "cov AS (SELECT event_id % 4 + 1 AS origin, event_id // 4 * 60 + 1 AS lo, event_id // 4 * 60 + 30 AS hi FROM events)"
+
+
 @query(
     "fr7_fetch_plan",
     over_log(
-        """SELECT *, row_number() OVER (ORDER BY serveable DESC, origin, lo) AS place FROM (SELECT origin, lo, hi, EXISTS (SELECT 1 FROM cov WHERE cov.origin = mi.origin AND cov.lo <= mi.hi AND cov.hi >= mi.lo) AS serveable FROM mi)
-        QUALIFY row_number() OVER (ORDER BY serveable DESC, origin, lo) <= 400""",
-        MISSING + ", cov AS (SELECT event_id % 4 + 1 AS origin, event_id % 40 * 60 + 1 AS lo, event_id % 40 * 60 + 30 AS hi FROM events WHERE event_id < 160)",
+        """SELECT *, row_number() OVER (PARTITION BY serveable ORDER BY origin, lo) AS place
+        FROM (SELECT origin, lo, hi, EXISTS (SELECT 1 FROM cov WHERE cov.origin = mi.origin AND cov.lo <= mi.hi AND cov.hi >= mi.lo) AS serveable FROM mi WHERE origin <> 1)
+        QUALIFY row_number() OVER (PARTITION BY serveable ORDER BY origin, lo) <= 150""",
+        MISSING + ", " + COVERAGE,
     ),
 )
 def fr7(spark, d):
     e = F.col("event_id")
-    coverage = table(spark, d, "events").filter("event_id < 160").select((e % 4 + 1).alias("origin"), (e % 40 * 60 + 1).alias("lo"), (e % 40 * 60 + 30).alias("hi"))
-    return frontier.plan(_held(spark, d), frontier.merge_tips(_tips(spark, d), _held(spark, d).groupBy("origin").agg(F.max("hi").alias("tip"))), coverage, 400)
+    start = F.floor(e / 4) * 60
+    coverage = table(spark, d, "events").select((e % 4 + 1).alias("origin"), (start + 1).alias("lo"), (start + 30).alias("hi"))
+    held = _held(spark, d)
+    tips = frontier.merge_tips(_tips(spark, d), held.groupBy("origin").agg(F.max("hi").alias("tip")))
+    return frontier.plan(held, tips, coverage, 150, own=1)
 
 
 INTERVALS = "iv AS (SELECT user_id AS origin, event_id * 31 % 500 AS lo, event_id * 31 % 500 + event_id % 9 AS hi FROM events WHERE event_id % 3 = 0)"
