@@ -7,29 +7,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import merge
+
 #: Quarantined records of an origin that do not halt it yet.
 DEFAULT_CAP = 128
 
 
-def conflicts(log: DataFrame, registers: Sequence[str] = ("a", "b")) -> DataFrame:
-    """(pk, loser and winner dots and stamps, kind, op, cols): every record another origin's winner discarded.
+def conflicts(log: DataFrame, registers: Sequence[str] = ("a", "b"), key: Sequence[str] = ("pk",), group: str = "cell") -> DataFrame:
+    """(key, origin, seq, op, winner_origin, winner_seq, kind, cols): what the converged state discards of each record.
 
-    The winner of a key is an aggregate that the log joins, so keys with many records are
-    combined first. Losses against a record of the same origin are that writer's own history.
+    In cell groups a carried register is lost if the stamp that rules it is later: that of its
+    cell, or of the insert or delete that established the row. Registers of one record that different
+    writers overruled give a row each. In row groups the winning record rules all registers. A
+    delete carries nothing and is lost to the base. Losses against a record of the same origin
+    are that writer's own history. The stamps of a key are one aggregate that the log joins.
     """
-    best = log.groupBy("pk").agg(F.max_by(F.struct("cl", "hlc", "origin", "seq"), F.struct("cl", "hlc", "origin")).alias("w"))
-    lost = log.join(best, "pk").filter((F.col("w.origin") != F.col("origin")) & (F.struct("cl", "hlc", "origin") < F.struct("w.cl", "w.hlc", "w.origin")))
-    carried = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in registers)), lambda c: c.isNotNull())
-    cols = F.when(F.col("op") == "D", F.lit("")).otherwise(F.array_join(carried, ","))
-    return lost.select(
-        "pk",
+    if group == "cell":
+        rules = merge.governing(log, registers, key)
+        rules = rules.select(*key, F.col("cl").alias("_cl"), F.col("base").alias("_base"), *(F.coalesce(c, "base").alias(f"_w_{c}") for c in registers))
+    else:
+        best = F.max(F.struct("cl", "hlc", "origin", "seq"))
+        rules = log.groupBy(*key).agg(best.alias("w"))
+        winner = F.struct("w.hlc", "w.origin", "w.seq")
+        rules = rules.select(*key, F.col("w.cl").alias("_cl"), winner.alias("_base"), *(winner.alias(f"_w_{c}") for c in registers))
+    joined = log.join(rules, list(key))
+    beaten = lambda w: F.col(w).isNotNull() & (F.col(f"{w}.origin") != F.col("origin")) & ((F.col("cl") < F.col("_cl")) | (F.struct(f"{w}.hlc", f"{w}.origin") > F.struct("hlc", "origin")))
+    lost = F.filter(F.array(*(F.when(merge.carries(log, c) & beaten(f"_w_{c}"), F.struct(F.lit(c).alias("col"), F.col(f"_w_{c}").alias("w"))) for c in registers)), lambda x: x.isNotNull())
+    removed = F.when(beaten("_base"), F.array(F.col("_base")))
+    winners = F.when(F.col("op") == "D", removed).otherwise(F.array_distinct(F.transform("_lost", lambda x: x["w"])))
+    rows = joined.withColumn("_lost", lost).withColumn("_w", F.explode(winners))
+    cols = F.array_join(F.transform(F.filter("_lost", lambda x: x["w"] == F.col("_w")), lambda x: x["col"]), ",")
+    return rows.select(
+        *key,
         "origin",
         "seq",
         "op",
-        F.col("w.origin").alias("winner_origin"),
-        F.col("w.seq").alias("winner_seq"),
-        kind(F.col("cl"), F.col("w.cl")).alias("kind"),
-        cols.alias("cols"),
+        F.col("_w.origin").alias("winner_origin"),
+        F.col("_w.seq").alias("winner_seq"),
+        kind(F.col("cl"), F.col("_cl")).alias("kind"),
+        F.when(F.col("op") == "D", F.lit("")).otherwise(cols).alias("cols"),
     )
 
 
@@ -38,9 +54,9 @@ def kind(loser_cl: Column, winner_cl: Column) -> Column:
     return F.when(loser_cl != winner_cl, "superseded").otherwise("concurrent")
 
 
-def newest(conflict_log: DataFrame, order: str, keep: int) -> DataFrame:
-    """The ``keep`` newest entries."""
-    return conflict_log.orderBy(F.col(order).desc()).limit(keep)
+def newest(conflict_log: DataFrame, order: str, keep: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The ``keep`` newest entries; entries of one time in the order of ``ties``."""
+    return conflict_log.orderBy(F.col(order).desc(), *ties).limit(keep)
 
 
 def lost_columns(losers: DataFrame, winners: DataFrame, key: str, columns: Sequence[str], counters: Sequence[str] = ()) -> DataFrame:

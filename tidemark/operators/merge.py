@@ -2,7 +2,11 @@
 
 Everything is a pure function of the set of records: a generation (causal length) beats all
 earlier ones, inside it the largest stamp wins per row or per cell, counters add up. Each merge
-is one aggregate over (table, pk), with partial aggregation before the shuffle.
+is one aggregate over the key, with partial aggregation before the shuffle.
+
+``key`` names the columns that identify a row, the table among them where a log has several.
+A record carries a register if its column ``<register>_present`` says so, and a null that is
+carried is a value like any other; logs without that column carry what is not null.
 """
 
 from __future__ import annotations
@@ -17,6 +21,12 @@ from tidemark.functions.clock import stamp
 MOST_LONG = (1 << 63) - 1
 
 
+def carries(log: DataFrame, register: str) -> Column:
+    """Whether a record writes the register."""
+    flag = f"{register}_present"
+    return F.coalesce(F.col(flag), F.lit(False)) if flag in log.columns else F.col(register).isNotNull()
+
+
 def once(log: DataFrame) -> DataFrame:
     """Each dot once: redelivered records add nothing."""
     return log.dropDuplicates(["origin", "seq"])
@@ -43,27 +53,28 @@ def newest_generation(log: DataFrame, key: Sequence[str] = ("pk",)) -> DataFrame
     return log.join(newest, [*key, "cl"], "left_semi")
 
 
-def cells(log: DataFrame, registers: Sequence[str]) -> DataFrame:
-    """One row for each carried register cell: (pk, cl, hlc, origin, col, val)."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in registers))
-    return log.select("pk", "cl", "hlc", "origin", F.explode(F.filter(pairs, lambda p: p["val"].isNotNull())).alias("p")).select("pk", "cl", "hlc", "origin", "p.col", "p.val")
+def cells(log: DataFrame, registers: Sequence[str], key: Sequence[str] = ("pk",)) -> DataFrame:
+    """One row for each carried register cell: (key, cl, hlc, origin, col, val)."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val"), carries(log, c).alias("there")) for c in registers))
+    found = log.select(*key, "cl", "hlc", "origin", F.explode(F.filter(pairs, lambda p: p["there"])).alias("p"))
+    return found.select(*key, "cl", "hlc", "origin", "p.col", "p.val")
 
 
-def merge_cells(log: DataFrame, registers: Sequence[str] = ("a", "b")) -> DataFrame:
+def merge_cells(log: DataFrame, registers: Sequence[str] = ("a", "b"), key: Sequence[str] = ("pk",)) -> DataFrame:
     """Cell groups: in the newest generation, each carried cell by its largest stamp; live rows only.
 
     One aggregate: the newest carrier of each cell is kept with its generation, and counts only
     if that is the newest generation of the row.
     """
-    carried = [F.max_by(F.struct("cl", F.col(c).alias("val")), F.when(F.col(c).isNotNull(), _order())).alias(c) for c in registers]
-    merged = log.groupBy("pk").agg(F.max("cl").alias("cl"), *carried).filter("cl % 2 = 1")
-    return merged.select("pk", "cl", *(F.when(F.col(f"{c}.cl") == F.col("cl"), F.col(f"{c}.val")).alias(c) for c in registers))
+    carried = [F.max_by(F.struct("cl", F.col(c).alias("val")), F.when(carries(log, c), _order())).alias(f"_w_{c}") for c in registers]
+    merged = log.groupBy(*key).agg(F.max("cl").alias("cl"), *carried).filter("cl % 2 = 1")
+    return merged.select(*key, "cl", *(F.when(F.col(f"_w_{c}.cl") == F.col("cl"), F.col(f"_w_{c}.val")).alias(c) for c in registers))
 
 
-def cell_clocks(log: DataFrame, registers: Sequence[str] = ("a", "b")) -> DataFrame:
-    """(pk, col, hlc, origin, val): the winning stamp of each cell of the newest live generation."""
+def cell_clocks(log: DataFrame, registers: Sequence[str] = ("a", "b"), key: Sequence[str] = ("pk",)) -> DataFrame:
+    """(key, cl, col, hlc, origin, val): the winning stamp of each cell of the newest live generation."""
     winner = F.max_by(F.struct("hlc", "origin", "val"), stamp()).alias("w")
-    return cells(newest_generation(log).filter("cl % 2 = 1"), registers).groupBy("pk", "cl", "col").agg(winner).select("pk", "cl", "col", "w.hlc", "w.origin", "w.val")
+    return cells(newest_generation(log, key).filter("cl % 2 = 1"), registers, key).groupBy(*key, "cl", "col").agg(winner).select(*key, "cl", "col", "w.hlc", "w.origin", "w.val")
 
 
 def as_cell_updates(log: DataFrame) -> DataFrame:
@@ -73,21 +84,23 @@ def as_cell_updates(log: DataFrame) -> DataFrame:
     return log.withColumn("acts_as", F.when((F.col("op") == "I") & (F.struct("hlc", "origin", "seq") != opened), "U").otherwise(F.col("op"))).withColumn("turn", F.row_number().over(first).cast("long"))
 
 
-def merge_counters(log: DataFrame, counter: str = "n") -> DataFrame:
-    """(pk, cl, total, in_range): contributions of the newest generation added up, deletes dominate.
+def merge_counters(log: DataFrame, counter: str = "n", key: Sequence[str] = ("pk",)) -> DataFrame:
+    """(key, cl, total, in_range): contributions of the newest generation added up, deletes dominate.
 
-    The sum is taken as a decimal, so a total outside 64 bits is found whatever the order.
+    The sum is taken as a decimal, so a total outside 64 bits is found whatever the order. One
+    aggregate: sums by generation, of which the newest is kept.
     """
     total = F.sum(F.col(counter).cast("decimal(38,0)")).alias("total")
-    summed = newest_generation(log).filter("cl % 2 = 1").groupBy("pk", "cl").agg(total)
+    by_generation = log.groupBy(*key, "cl").agg(total)
+    summed = by_generation.groupBy(*key).agg(F.max_by(F.struct("cl", "total"), "cl").alias("w")).select(*key, "w.cl", "w.total").filter("cl % 2 = 1")
     fits = F.coalesce(F.col("total").between(F.lit(-MOST_LONG - 1).cast("decimal(38,0)"), F.lit(MOST_LONG).cast("decimal(38,0)")), F.lit(True))
     return summed.withColumn("in_range", fits)
 
 
-def checked_counters(log: DataFrame, counter: str = "n") -> DataFrame:
-    """(pk, total, outcome): totals that fit 64 bits, and the keys that go to quarantine."""
-    merged = merge_counters(log, counter)
-    return merged.select("pk", F.when(F.col("in_range"), F.col("total").cast("long")).alias("total"), F.when(F.col("in_range"), "merged").otherwise("quarantined").alias("outcome"))
+def checked_counters(log: DataFrame, counter: str = "n", key: Sequence[str] = ("pk",)) -> DataFrame:
+    """(key, total, outcome): totals that fit 64 bits, and the keys that go to quarantine."""
+    merged = merge_counters(log, counter, key)
+    return merged.select(*key, F.when(F.col("in_range"), F.col("total").cast("long")).alias("total"), F.when(F.col("in_range"), "merged").otherwise("quarantined").alias("outcome"))
 
 
 def counter_errors(records: DataFrame) -> DataFrame:
@@ -142,11 +155,26 @@ def whole_changesets(log: DataFrame) -> DataFrame:
     return log.join(complete, ["origin", "seq"], "left_semi")
 
 
-def row_states(log: DataFrame) -> DataFrame:
-    """(pk, cl, base_hlc, base_origin, cells): clock state of each key; a new generation clears cells."""
-    newest = newest_generation(log)
-    base = newest.groupBy("pk", "cl").agg(F.max(stamp()).alias("s"), F.sum(F.col("a").isNotNull().cast("long")).alias("a_writes"), F.sum(F.col("b").isNotNull().cast("long")).alias("b_writes"))
-    return base.select("pk", "cl", F.col("s.hlc").alias("base_hlc"), F.col("s.origin").alias("base_origin"), "a_writes", "b_writes")
+def governing(log: DataFrame, registers: Sequence[str] = ("a", "b"), key: Sequence[str] = ("pk",)) -> DataFrame:
+    """(key, cl, base, a struct for each register): the stamps (hlc, origin, seq) that rule the newest generation of each key.
+
+    The base is the latest insert or delete. A register is ruled by the latest record that carries
+    it, null where only the base speaks for it. One aggregate.
+    """
+    order = F.struct("cl", "hlc", "origin", "seq")
+    rules = log.groupBy(*key).agg(F.max("cl").alias("cl"), F.max(F.when(F.col("op").isin("I", "D"), order)).alias("base"), *(F.max(F.when(carries(log, c) & (F.col("op") != "D"), order)).alias(c) for c in registers))
+    return rules.select(*key, "cl", *(F.when(F.col(f"{c}.cl") == F.col("cl"), F.struct(f"{c}.hlc", f"{c}.origin", f"{c}.seq")).alias(c) for c in ("base", *registers)))
+
+
+def row_states(log: DataFrame, registers: Sequence[str] = ("a", "b"), key: Sequence[str] = ("pk",)) -> DataFrame:
+    """(key, cl, base_hlc, base_origin, cells): clock state of each key; a new generation clears cells.
+
+    ``cells`` has (col, hlc, origin) of the registers whose stamp is later than the base.
+    """
+    rules = governing(log, registers, key)
+    later = lambda c: F.col(c).isNotNull() & (F.col("base").isNull() | (F.struct(f"{c}.hlc", f"{c}.origin") > F.struct("base.hlc", "base.origin")))
+    found = F.array(*(F.when(later(c), F.struct(F.lit(c).alias("col"), F.col(f"{c}.hlc"), F.col(f"{c}.origin"))) for c in sorted(registers)))
+    return rules.select(*key, "cl", F.col("base.hlc").alias("base_hlc"), F.col("base.origin").alias("base_origin"), F.filter(found, lambda c: c.isNotNull()).alias("cells"))
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, values: Sequence[str]) -> DataFrame:

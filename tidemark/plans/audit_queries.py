@@ -14,10 +14,14 @@ from .merge_queries import CELLS
 from .registry import query
 from .sql import over_log
 
-LOSSES = """lo AS (SELECT log.*, w FROM log JOIN (SELECT pk, arg_max({'cl': cl, 'hlc': hlc, 'origin': origin, 'seq': seq}, row(cl, hlc, origin)) AS w FROM log GROUP BY pk) USING (pk)
-  WHERE w.origin <> origin AND row(cl, hlc, origin) < row(w.cl, w.hlc, w.origin)),
-  cf AS (SELECT pk, origin, seq, op, w.origin AS winner_origin, w.seq AS winner_seq, CASE WHEN cl <> w.cl THEN 'superseded' ELSE 'concurrent' END AS kind,
-         CASE WHEN op = 'D' THEN '' ELSE concat_ws(',', CASE WHEN a IS NOT NULL THEN 'a' END, CASE WHEN b IS NOT NULL THEN 'b' END) END AS cols FROM lo)"""
+LOSSES = """tops AS (SELECT *, max(cl) OVER (PARTITION BY pk) AS top FROM log),
+  gov AS (SELECT pk, any_value(top) AS top, max({'hlc': hlc, 'origin': origin, 'seq': seq}) FILTER (cl = top AND op IN ('I', 'D')) AS base,
+          max({'hlc': hlc, 'origin': origin, 'seq': seq}) FILTER (cl = top AND op <> 'D' AND a IS NOT NULL) AS wa, max({'hlc': hlc, 'origin': origin, 'seq': seq}) FILTER (cl = top AND op <> 'D' AND b IS NOT NULL) AS wb FROM tops GROUP BY pk),
+  ls AS (SELECT t.pk, t.origin, t.seq, t.op, t.cl, t.hlc, t.top, x.col, x.w FROM tops t JOIN gov g USING (pk), (SELECT unnest([
+          CASE WHEN t.op = 'D' THEN {'col': '', 'w': g.base} END, CASE WHEN t.op <> 'D' AND t.a IS NOT NULL THEN {'col': 'a', 'w': coalesce(g.wa, g.base)} END, CASE WHEN t.op <> 'D' AND t.b IS NOT NULL THEN {'col': 'b', 'w': coalesce(g.wb, g.base)} END]) AS x)
+         WHERE x IS NOT NULL AND x.w IS NOT NULL AND x.w.origin <> t.origin AND (t.cl < t.top OR row(x.w.hlc, x.w.origin) > row(t.hlc, t.origin))),
+  cf AS (SELECT pk, origin, seq, op, w.origin AS winner_origin, w.seq AS winner_seq, CASE WHEN cl <> top THEN 'superseded' ELSE 'concurrent' END AS kind, string_agg(col, ',' ORDER BY col) AS cols
+         FROM ls GROUP BY pk, origin, seq, op, cl, top, w)"""
 
 
 @query("cf1_conflict_log", over_log("SELECT * FROM cf", LOSSES))
@@ -30,10 +34,10 @@ def cf2(spark, d):
     return audit.conflicts(change_log(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("cf3_newest_conflicts", over_log("SELECT pk, origin, seq FROM cf ORDER BY seq * 10 + origin DESC LIMIT 500", LOSSES))
+@query("cf3_newest_conflicts", over_log("SELECT pk, origin, seq, cols FROM cf ORDER BY seq * 10 + origin DESC, cols LIMIT 500", LOSSES))
 def cf3(spark, d):
     rows = audit.conflicts(change_log(spark, d)).withColumn("at", F.col("seq") * 10 + F.col("origin"))
-    return audit.newest(rows, "at", 500).select("pk", "origin", "seq")
+    return audit.newest(rows, "at", 500, ["cols"]).select("pk", "origin", "seq", "cols")
 
 
 @query(

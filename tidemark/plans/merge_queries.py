@@ -155,12 +155,59 @@ def mg22(spark, d):
     return merge.merge_cells(merge.once(shuffled))
 
 
+STATES = """gov AS (SELECT {key}, any_value(top) AS cl, max({{'hlc': hlc, 'origin': origin}}) FILTER (cl = top AND op IN ('I', 'D')) AS base,
+  max({{'hlc': hlc, 'origin': origin}}) FILTER (cl = top AND op <> 'D' AND {a}) AS wa, max({{'hlc': hlc, 'origin': origin}}) FILTER (cl = top AND op <> 'D' AND {b}) AS wb FROM (SELECT *, max(cl) OVER (PARTITION BY {key}) AS top FROM {log}) GROUP BY {key})"""
+STATE_ROWS = """SELECT {key}, cl, base.hlc AS base_hlc, base.origin AS base_origin, concat_ws(',', CASE WHEN wa IS NOT NULL AND (base IS NULL OR row(wa.hlc, wa.origin) > row(base.hlc, base.origin)) THEN 'a@' || wa.hlc || '/' || wa.origin END,
+  CASE WHEN wb IS NOT NULL AND (base IS NULL OR row(wb.hlc, wb.origin) > row(base.hlc, base.origin)) THEN 'b@' || wb.hlc || '/' || wb.origin END) AS cells FROM gov"""
+
+
+def _states(rows):
+    """Row states with their cells as text."""
+    text = F.transform("cells", lambda c: F.concat(c["col"], F.lit("@"), c["hlc"].cast("string"), F.lit("/"), c["origin"].cast("string")))
+    return rows.withColumn("cells", F.array_join(text, ","))
+
+
+@query("mg23_row_states", over_log(STATE_ROWS.format(key="pk"), STATES.format(key="pk", a="a IS NOT NULL", b="b IS NOT NULL", log="log")))
+def mg23(spark, d):
+    return _states(merge.row_states(change_log(spark, d)))
+
+
+#: Two tables, a key of two columns, and updates that write null: every fifth update of "a", every seventh of "b".
+TABLES = """wide AS (SELECT 't' || pk % 2 AS tbl, pk // 2 AS k1, 'k' || pk % 3 AS k2, origin, seq, hlc, cl, op, CASE WHEN op = 'U' AND seq % 5 = 0 THEN NULL ELSE a END AS a, CASE WHEN op = 'U' AND seq % 7 = 0 THEN NULL ELSE b END AS b,
+  a IS NOT NULL AS a_present, b IS NOT NULL AS b_present, n FROM log)"""
+KEY = ["tbl", "k1", "k2"]
+
+
+def _wide(spark, d):
+    log = change_log(spark, d)
+    null = lambda c, every: F.when(~((F.col("op") == "U") & (F.col("seq") % every == 0)), F.col(c))
+    pk = F.col("pk")
+    return log.select(
+        F.concat(F.lit("t"), (pk % 2).cast("string")).alias("tbl"), F.floor(pk / 2).alias("k1"), F.concat(F.lit("k"), (pk % 3).cast("string")).alias("k2"),
+        "origin", "seq", "hlc", "cl", "op", null("a", 5).alias("a"), null("b", 7).alias("b"), F.col("a").isNotNull().alias("a_present"), F.col("b").isNotNull().alias("b_present"), "n",
+    )
+
+
 @query(
-    "mg23_row_states",
-    over_log("SELECT pk, cl, s.hlc AS base_hlc, s.origin AS base_origin, a_writes, b_writes FROM (SELECT pk, cl, max({'hlc': hlc, 'origin': origin}) AS s, count(a) AS a_writes, count(b) AS b_writes FROM newest GROUP BY pk, cl)"),
+    "mg2_null_writes",
+    over_log(
+        """SELECT tbl, k1, k2, top AS cl, arg_max_null(a, row(hlc, origin)) FILTER (a_present) AS a, arg_max_null(b, row(hlc, origin)) FILTER (b_present) AS b
+        FROM (SELECT *, max(cl) OVER (PARTITION BY tbl, k1, k2) AS top FROM wide) WHERE cl = top AND top % 2 = 1 GROUP BY tbl, k1, k2, top""",
+        TABLES,
+    ),
 )
-def mg23(spark, d):
-    return merge.row_states(change_log(spark, d))
+def mg2_null_writes(spark, d):
+    return merge.merge_cells(merge.once(with_repeats(_wide(spark, d))), key=KEY)
+
+
+@query("mg23_cell_stamps", over_log(STATE_ROWS.format(key="tbl, k1, k2"), TABLES + ", " + STATES.format(key="tbl, k1, k2", a="a_present", b="b_present", log="wide")))
+def mg23_cell_stamps(spark, d):
+    return _states(merge.row_states(_wide(spark, d), key=KEY))
+
+
+@query("mg4_compound_key", over_log("SELECT tbl, k1, k2, top AS cl, cast(sum(n) AS BIGINT) AS total, true AS in_range FROM (SELECT *, max(cl) OVER (PARTITION BY tbl, k1, k2) AS top FROM wide) WHERE cl = top AND top % 2 = 1 GROUP BY tbl, k1, k2, top", TABLES))
+def mg4_compound_key(spark, d):
+    return merge.merge_counters(_wide(spark, d), key=KEY).withColumn("total", F.col("total").cast("long"))
 
 
 @query(
