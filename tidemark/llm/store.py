@@ -1,51 +1,10 @@
-"""Tables and files that several jobs of one operator share.
-
-Everything goes below the folder the cluster names in ``spark.checkpoint.dir``. Only a
-local session without that setting gets a temporary folder of its own.
-"""
+"""Scratch tables of the corpus operators, and batches of bounded size."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-_MADE: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder of this session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return _LOCAL["dir"]
-
+from tidemark.sources.workspace import materialize, new_dir, remove, shared_dir
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A folder name below the shared folder that nothing uses yet; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    if not _MADE:
-        atexit.register(_clean)
-    _MADE.append(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "new_dir", "remove", "shared_dir", "slices"]
 
 
 def slices(batches, rows: int = 256):
@@ -53,19 +12,3 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this module through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    try:
-        for path in _MADE if spark is not None else ():
-            remove(spark, path)
-    except Exception:  # the gateway may be gone by now; the folder is scratch space
-        return
