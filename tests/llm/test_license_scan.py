@@ -69,3 +69,37 @@ def test_license_lines_get_their_own_label_only(spark):
 
 def test_empty_table(spark):
     assert L.report(L.scan(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_positional_filter_drops_blocks():
+    """Blocks that hold a prefix token and enough tokens in all, but too few behind the first common one."""
+    template = L.Template("t", "t", "a b c d e f g h i j")
+    other = L.Template("o", "o", "p q r s t u v w x y")
+    counts = {w: n for n, w in enumerate("p q r s t u a b c d e f g h i j v w x y".split())}
+    index = L.Index([template, other], counts, 0.8)
+    assert index.candidates("a b c d e f g h z z".split()) == [(0, 0)]
+    block = "p q r s t u a b c".split()  # nine words of the templates, three of them at or behind the first of "t"
+    assert len(index.rank.keys() & set(block)) >= index.need[0] and set(block) & set(index.by_token)
+    assert (0, 0) not in index.candidates(block)
+    assert index.matches(block) == []
+
+
+def test_filters_lose_no_match():
+    rng = random.Random(6)
+    vocabulary = [w for template in L.TEMPLATES for w in L.words(template.text)]
+    counts = {w: rng.randint(0, 9) for w in vocabulary}
+    index = L.Index(L.TEMPLATES, counts, L.THRESHOLD)
+    pruned = 0
+    for _ in range(300):
+        found = [rng.choice(vocabulary) if rng.random() < 0.7 else "z" for _ in range(rng.randint(0, 120))]
+        at = rng.randint(0, len(found))
+        found[at:at] = [w for w in L.words(rng.choice(L.TEMPLATES).text) if rng.random() < 0.93]
+        passed = set(index.candidates(found))
+        for t, tokens in enumerate(index.tokens):
+            half = index.block[t] // 2
+            for block in range(len(found) // half + 1):
+                if len(tokens.intersection(found[block * half : block * half + 2 * half])) >= index.need[t]:
+                    assert (t, block) in passed
+                else:
+                    pruned += (t, block) not in passed
+    assert pruned > 1000

@@ -3,9 +3,10 @@
 A template of k distinct tokens matches a block when the block holds at least
 ``o = ceil(threshold * k)`` of them. Tokens are ordered by their frequency in the whole
 corpus, rarest first. A block that reaches o must hold one of the first k - o + 1 tokens of a
-template (prefix filter), must have o distinct tokens at all (length filter), and a block whose
-first common token has place q can hold at most k - q of them (positional filter). What passes
-is verified by counting.
+template (prefix filter) and must have o distinct template tokens at all (length filter). Its
+tokens are ordered as well: if the first common token has place p in the template and place q
+among the m tokens of the block, they share at most min(k - p, m - q) (positional filter). What
+passes is verified by counting.
 
 Blocks are windows of the words of a text: for templates of up to B/2 words, windows of B
 words that start at every multiple of B/2, so that each run of B/2 words lies inside one.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -116,37 +118,56 @@ class Index:
         self.templates = templates
         self.by_token: dict[str, list[tuple[int, int]]] = {}
         self.tokens: list[frozenset[str]] = []
+        self.order: list[list[str]] = []
         self.sequence: list[list[str]] = []
         self.need: list[int] = []
         self.block: list[int] = []
+        vocabulary = {word for template in templates for word in words(template.text)}
+        #: Global order: rarest tokens first. Words of no template share nothing with any and have no place.
+        self.rank = {word: i for i, word in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
         for t, template in enumerate(templates):
             sequence = words(template.text)
-            order = sorted(set(sequence), key=lambda w: (counts.get(w, 0), w))
+            order = sorted(set(sequence), key=self.rank.__getitem__)
             need = len(order) if template.exact else ceil((template.threshold or threshold) * len(order) - 1e-9)
             self.tokens.append(frozenset(order))
+            self.order.append(order)
             self.sequence.append(sequence)
             self.need.append(need)
             self.block.append(2 << (len(sequence) - 1).bit_length())
             for place, token in enumerate(order[: len(order) - need + 1]):
                 self.by_token.setdefault(token, []).append((t, place))
 
-    def matches(self, found: list[str]) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, containment) in a text of these words."""
-        candidates: dict[tuple[int, int], int] = {}
+    def candidates(self, found: list[str]) -> list[tuple[int, int]]:
+        """(template, block) of a text of these words that pass the prefix, length and positional filters."""
+        first: dict[tuple[int, int], int] = {}
         for at in [i for i, word in enumerate(found) if word in self.by_token]:
             for t, place in self.by_token[found[at]]:
                 half = self.block[t] // 2
                 for block in (at // half, at // half - 1):
-                    if block >= 0 and place < candidates.get((t, block), 1 << 30):
-                        candidates[t, block] = place
+                    if block >= 0 and place < first.get((t, block), 1 << 30):
+                        first[t, block] = place
+        ordered: dict[tuple[int, int], list[int]] = {}
         out = []
-        for (t, block), place in sorted(candidates.items()):
+        for (t, block), place in sorted(first.items()):
+            need, half = self.need[t], self.block[t] // 2
+            if (half, block) not in ordered:
+                inside = set(found[block * half : block * half + 2 * half])
+                ordered[half, block] = sorted(self.rank[word] for word in inside if word in self.rank)
+            ranks = ordered[half, block]
+            if len(ranks) < need:
+                continue
+            behind = len(ranks) - bisect_left(ranks, self.rank[self.order[t][place]])
+            if min(len(self.order[t]) - place, behind) >= need:
+                out.append((t, block))
+        return out
+
+    def matches(self, found: list[str]) -> list[tuple[int, int, int, float]]:
+        """(template, start, end, containment) in a text of these words."""
+        out = []
+        for t, block in self.candidates(found):
             tokens, need, half = self.tokens[t], self.need[t], self.block[t] // 2
             inside = found[block * half : block * half + 2 * half]
-            if len(inside) < need or len(tokens) - place < need:
-                continue
-            distinct = set(inside)
-            overlap = len(tokens & distinct) if len(distinct) >= need else 0
+            overlap = len(tokens.intersection(inside))
             if overlap < need:
                 continue
             if not self.templates[t].exact:
