@@ -65,3 +65,35 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert token_count.token_counts(empty, public_tokenizers.path("piece_bpe_32k.model")).collect() == []
     assert byte_bpe.encode(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect() == []
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    counter = token_count.Counter({"a": 0, "aa": 1, "▁a": 2})
+    for n in range(1, 400):
+        assert token_count.count_text("a" * n, counter, False) == len(range(0, n, 2))
+    assert all(len(segment) <= token_count.LONGEST for segment in counter) and counter.held < token_count.CACHE_BYTES
+    monkeypatch.setattr(token_count, "CACHE_BYTES", 2000)
+    for n in range(200):
+        counter[f"x{n}"]
+    assert len(counter) * token_count.ENTRY_BYTES <= 2000 + token_count.ENTRY_BYTES
+
+    encoder = byte_bpe.Encoder(byte_bpe.serialize_model([bytes([i]) for i in range(256)] + [b"ab", b" a"]))
+    texts = [["ab", "x" * 1000], ["ab", "y" * 500, " a"]]
+    expected = [struct.pack("=1001i", 256, *[120] * 1000), struct.pack("=502i", 256, *[121] * 500, 257)]
+    assert encoder.pack(texts) == expected and set(encoder) == {"ab", " a"}
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 1)
+    assert encoder.pack(texts) == expected and encoder.held <= 2 * (byte_bpe.ENTRY_BYTES + 8)
+
+
+def test_counts_of_two_models_are_kept_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "aa ab")], SCHEMA).coalesce(1)
+    counts = []
+    for name, extra in (("one", [b"aa"]), ("two", [b"ab", b"aa", b" ab"])):
+        model = byte_bpe.serialize_model([bytes([i]) for i in range(256)] + extra)
+        path = tmp_path / name
+        with open(path, "wb") as f:  # the counter asks for byte fallback, trainer field 35
+            f.write(b"".join(byte_bpe._field(n, v) for n, v in token_count._fields(model) if n == 1))
+            f.write(byte_bpe._field(2, byte_bpe._number(3, 2) + byte_bpe._number(35, 1)))
+            f.write(byte_bpe._field(3, byte_bpe._field(1, b"identity") + byte_bpe._number(3, 0) + byte_bpe._number(4, 0)))
+        counts.append(token_count.token_counts(docs, str(path)).first()["n_tokens"])
+    assert counts[0] != counts[1]

@@ -14,6 +14,7 @@ which case the added column replaces them; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import struct
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 
 from .store import slices
 
-#: Pre-tokens that a worker keeps encoded; beyond it the cache starts anew.
-CACHE = 1 << 18
+#: Bytes of the pre-tokens that a worker keeps encoded, after which it starts anew, and characters of the longest one it keeps.
+CACHE_BYTES, LONGEST = 64 << 20, 64
+#: What an entry takes besides its characters and ids.
+ENTRY_BYTES = 200
 #: Characters whose pre-tokens are looked up together.
 AT_ONCE = 1 << 20
 
@@ -95,26 +98,35 @@ class Encoder(dict):
 
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.table = dict(enumerate(byte_chars()))
+        self.held = 0
 
     def pack(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each list of pre-tokens in order; those not held yet are encoded in one call."""
-        used = set().union(*texts)
-        new = [token for token in used if token not in self]
+        if self.held >= CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        new = [token for token in set().union(*texts) if token not in self]
+        long: dict[str, bytes] = {}  # of these texts only
         if new:
-            if len(self) + len(new) > CACHE and len(self):
-                self.clear()
-                new = list(used)
             mapped = [token.encode().decode("latin-1").translate(self.table) for token in new]
             for token, ids in zip(new, self.processor.encode(mapped, num_threads=1)):
-                self[token] = struct.pack(f"={len(ids)}i", *ids)
-        return [b"".join(map(self.__getitem__, tokens)) for tokens in texts]
+                packed = struct.pack(f"={len(ids)}i", *ids)
+                if len(token) > LONGEST:
+                    long[token] = packed
+                else:
+                    self[token] = packed
+                    self.held += ENTRY_BYTES + len(token) + len(packed)
+        if not long:
+            return [b"".join(map(self.__getitem__, tokens)) for tokens in texts]
+        return [b"".join(long[token] if token in long else self[token] for token in tokens) for tokens in texts]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+#: The encoder of a worker, by the digest of its model.
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
 def _encoder(model) -> Encoder:
-    key = hash(model.value)
+    key = hashlib.sha256(model.value).digest()
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(model.value)

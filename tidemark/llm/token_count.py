@@ -7,7 +7,8 @@ the vocabulary lacks starts as its UTF-8 bytes.
 
 No piece of the vocabulary may hold a space mark behind another character (checked when the
 model is read), so merges never cross from a word into the mark that follows it, and each
-``marks + word`` segment is counted on its own and remembered.
+``marks + word`` segment is counted on its own and remembered, up to a number of bytes; long
+segments, as in texts without spaces, are counted anew each time.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated
 rows; an empty table gives an empty table; all other columns are ignored.
@@ -15,6 +16,7 @@ rows; an empty table gives an empty table; all other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Segments that a worker keeps counted; beyond it the cache starts anew.
-CACHE = 1 << 19
+#: Bytes of the segments that a worker keeps counted, after which it starts anew, and characters of the longest one it keeps.
+CACHE_BYTES, LONGEST = 64 << 20, 64
+#: What an entry takes besides its characters.
+ENTRY_BYTES = 160
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -93,11 +97,16 @@ class Counter(dict):
 
     def __init__(self, ranks: dict[str, int]):
         self.ranks = {piece.replace(MARK, " "): rank for piece, rank in ranks.items()}
+        self.held = 0
 
     def __missing__(self, segment: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        count = self[segment] = self.merged(segment)
+        count = self.merged(segment)
+        if len(segment) <= LONGEST:
+            if self.held >= CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[segment] = count
+            self.held += ENTRY_BYTES + len(segment)
         return count
 
     def merged(self, segment: str) -> int:
@@ -140,7 +149,8 @@ class Counter(dict):
 
 
 _SEGMENTS = re.compile(r" *[^ ]+| +").findall
-_COUNTERS: dict[int, Counter] = {}
+#: The counter of a worker, by the digest of its model.
+_COUNTERS: dict[str, Counter] = {}
 
 
 def count_text(text: str, counter: Counter, prefix: bool) -> int:
@@ -153,6 +163,8 @@ def count_text(text: str, counter: Counter, prefix: bool) -> int:
 
 def token_counts(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of every row."""
+    with open(model_path, "rb") as f:
+        digest = hashlib.file_digest(f, "sha256").hexdigest()
     model = df.sparkSession.sparkContext.broadcast(read_model(model_path))
     read = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     field = read.schema.fields[0]
@@ -160,10 +172,10 @@ def token_counts(df: DataFrame, model_path: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, prefix = model.value
-        if id(ranks) not in _COUNTERS:
+        if digest not in _COUNTERS:
             _COUNTERS.clear()
-            _COUNTERS[id(ranks)] = Counter(ranks)
-        counter = _COUNTERS[id(ranks)]
+            _COUNTERS[digest] = Counter(ranks)
+        counter = _COUNTERS[digest]
         for batch in batches:
             counts = [count_text(value.as_py(), counter, prefix) for value in batch.column(1)]
             n_bytes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
