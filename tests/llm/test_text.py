@@ -92,6 +92,16 @@ def test_cleaned_documents_keep_clashing_columns(spark):
     assert (row["kept"], row["loss"]) == ("mine", 7) and quality.cleaned_documents(docs).columns == docs.columns
 
 
+def test_helper_names_may_be_taken(spark):
+    docs = spark.createDataFrame([(1, "\n".join(prose(6)), "en", "s", 0)], SCHEMA)
+    for name in ("_content", "_words", "_lines", "_dup", "_good", "_repeat", "_held_kept", "Kept"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    (row,) = quality.cleaned_documents(docs).collect()
+    assert row["_words"] == row["Kept"] == row["_held_kept"] == "mine" and row["n_chars"] == len(row["text"])
+    (row,) = quality.assess(docs).collect()
+    assert row["_dup"] == "mine" and row["n_dup_lines"] == 0 and row["kept"] is True
+
+
 def test_a_filter_does_not_repeat_the_work(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i % 5000}" for i in range(20000)), "en", "s", 0)], SCHEMA)
     plan = quality.assess(docs).filter("kept")._jdf.queryExecution().optimizedPlan().toString()
@@ -134,6 +144,46 @@ def test_extraction(page, expected):
     assert html_text.extract(page) == expected
 
 
+ARTICLE = f"<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f"<article><p>{LONG}</p><div class='commentary'><p>Said {LONG}</p></div><p class='share-price'>12.50</p><section id='related-work'><p>Before us.</p></section></article>", [LONG, f"Said {LONG}", "12.50", "Before us."]),
+        (f"<main><p>{LONG}</p><article class='comment'><p>Mine. {LONG}</p></article></main>", [LONG]),
+        (f"<article>{ARTICLE}<article class='comment'><p>Mine. {LONG}</p></article></article>", [LONG] * 3),
+        (f"<body><div class=body><div>{ARTICLE}</div><div><p>Short end.</p></div></div><div><a href=1>x</a> <a href=2>y</a></div></body>", [LONG] * 3 + ["Short end."]),
+        (f"<body><h1>Title</h1><div><div>{ARTICLE}</div></div><div><div><p>Tiny.</p></div></div><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></body>", ["Title"] + [LONG] * 3 + ["Tiny."]),
+        (f"<body class='has-sidebar'><article class='post no-banner'><header class='entry-header'><h1>T</h1></header>{ARTICLE}</article><div class='commentList'><p>{LONG}</p></div></body>", ["T"] + [LONG] * 3),
+        (f"<div id=page><div class='related-posts'><p>{LONG}</p></div><div class=text>{LONG}<br>{LONG}<p>End, at last.</p></div><div class='share-buttons'>share</div></div>", [f"{LONG} {LONG}", "End, at last."]),
+    ],
+)
+def test_names_and_scores_find_the_article(page, expected):
+    assert html_text.extract(page) == "\n".join(expected)
+
+
+def test_pages_without_article_elements():
+    """The pages of the test data with their article as a plain element, or split into two."""
+    for (page,) in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall():
+        body = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", block)).split()) for block in re.split(r"</?(?:p|h1)>", body)]
+        cut = body.rindex("<p>")
+        for other in (f"<div class='story'>{body}</div>", f"<div><div>{body[:cut]}</div><div>{body[cut:]}</div></div>"):
+            plain = re.sub(r"<article>.*</article>", lambda m: other, page, flags=re.S)
+            plain = re.sub(r"</?main[^>]*>", "", plain)
+            assert html_text.extract(plain) == "\n".join(block for block in blocks if block)
+
+
+def test_extraction_takes_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div>" * 20000 + "</p>" * 20000 + "<li>" * 20000, "<b><div>" + "<i>" * 20000 + "</b>" * 20000, "<header>" * 20000, "<p>" + LONG * 20000):
+        html_text.extract(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_extraction_of_hostile_pages():
     assert html_text.extract("<div>" * 20000 + LONG) == LONG
     assert html_text.extract('<p title="' + "x" * 100000) != None  # noqa: E711

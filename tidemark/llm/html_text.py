@@ -2,11 +2,15 @@
 
 A page is read into a tree (unclosed and misnested tags included). Furniture is cut off:
 scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts and reader
-comments, by tag, role or the words of class and id. Every paragraph then passes points for its
-length and its commas to its ancestors, halved at each step up, and each container's sum is
-discounted by the share of its text inside links. The best container is kept; inside an
-``article`` or ``main`` element that element is, otherwise those siblings are kept with it
-that score a fair part of its points or are paragraphs with few links.
+comments, by tag, role or the names in class and id. A name counts by its words: ``cookie-notice``
+is a notice and ``ad-box`` an advert, but ``share-price`` is a price and ``commentary`` no comment.
+
+Every paragraph then passes points for its length and its commas to its ancestors, halved at
+each step up, and each container's sum is discounted by the share of its text inside links. The
+container with the best score is kept, together with its siblings. The way up from there ends
+at the ``article`` or ``main`` element that holds it; inside of that everything is kept but the
+furniture. Without such an element, the nearest level with other text keeps whatever is not
+mostly links, and levels above keep headings and what has scored paragraphs of its own.
 
 All blocks of what is kept come out in page order, white space inside a block as one space,
 character references decoded, joined by line ends.
@@ -45,15 +49,45 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in CLOSES.items()}
 DROPPED = frozenset("script style noscript template head nav footer aside form button select textarea iframe object svg canvas menu dialog title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-_FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|sidebar|sidebars|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|"
-    r"recommended|recommendations|pagination|pager|toolbar|paywall|signup|login)(?:$|[\s_-])"
+#: Words that make a class or id furniture when its name ends in one of them.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices popup modal "
+    "overlay newsletter subscribe subscription sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus replies respond "
+    "share sharing social pagination pager toolbar paywall signup login related recommended recommendations".split()
+)
+#: Words behind which the name of the thing stands: an ad box is an ad, a comment list comments.
+SHELLS = frozenset(
+    "area bar block body box button buttons container content form group holder icons inner item items links list module outer panel region row section slot text thread top unit wrap wrapper zone left right bottom".split()
 )
-_COMMENT_IDS = re.compile(r"(?:^|[\s_-])(?:comment|sidebar|advert|cookie)")
-BONUS = {"article": 20.0, "main": 15.0, "section": 3.0, "div": 3.0}
-#: A sibling stays with this part of the best score.
-SIBLING = 0.2
+#: What follows related, recommended and the like in the name of a list of other pages.
+OTHERS = frozenset("articles content links news pages posts reads stories story".split())
+OTHER_NAMES = frozenset("related recommended popular trending suggested".split())
+#: Names that tell what an element has or lacks, and headers that belong to the article.
+STATES = frozenset("has have with without no not is hide show".split())
+OWN_HEADERS = frozenset("article post entry story content section".split())
+#: The furniture that an ``article`` element may be itself.
+IN_ARTICLES = frozenset("ad ads advert adverts advertisement comment comments reply replies sponsored promo related recommended".split())
+_NAME_WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+").findall
+#: A sibling of the best container, or what stands above it, stays when less than this part of its text is inside links.
+LINKED = 0.4
+#: Outside of articles, blocks of these tags are menus when at least this part of their text is inside links.
+MENUS, MENU = frozenset("ul ol dl div section table".split()), 0.8
+#: Points that a level above needs: a paragraph of forty characters has as many.
+POINTS = 1.4
+
+
+def names_furniture(name: str, words: frozenset[str] = FURNITURE) -> bool:
+    """Whether a class or id names furniture, by the last word that is more than a shell."""
+    parts = [word.lower() for word in _NAME_WORDS(name)]
+    if not parts or parts[0] in STATES:
+        return False
+    if len(parts) > 1 and parts[-2] in OTHER_NAMES and parts[-1] in OTHERS:
+        return bool(words & OTHER_NAMES)
+    while len(parts) > 1 and parts[-1] in SHELLS:
+        parts.pop()
+    if parts[-1] == "header" and len(parts) > 1 and parts[-2] in OWN_HEADERS:
+        return False
+    return parts[-1] in words or (len(parts) > 1 and parts[0] in ("comment", "comments") and parts[-1] in ("author", "meta", "date", "reply"))
 
 
 class Node:
@@ -66,32 +100,41 @@ class Node:
         self.chars = self.linked = 0
 
 
-def _is_dropped(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header":
-        while parent is not None:
-            if parent.tag in ("article", "main"):
-                return False
-            parent = parent.parent
+def _is_dropped(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is furniture; ``inside``: an article or main element is open."""
+    if tag in DROPPED or (tag == "header" and not inside):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     found = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         if (name := name.lower()) in _NAMES:
-            found.setdefault(name, unescape(a or b or c).lower())
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in DROPPED_ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
+            found.setdefault(name, unescape(a or b or c))
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in DROPPED_ROLES or re.search(r"display\s*:\s*none", found.get("style", "").lower()):
         return True
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(_FURNITURE.search(named) or _COMMENT_IDS.search(named))
+    words = IN_ARTICLES if tag == "article" else FURNITURE
+    return any(names_furniture(name, words) for name in f"{found.get('class', '')} {found.get('id', '')}".split())
 
 
 def parse(html: str) -> Node:
-    """The tree of a page."""
+    """The tree of a page.
+
+    Elements that are open are counted by tag, so that a closing tag without an open one costs nothing.
+    """
     root = node = Node("#page", None)
     at = 0
     search = _TAG.search
+    opened: dict[str, int] = {}
+    missed: tuple[Node, str] | None = None  # the last closing tag that found nothing to close
+
+    def leave(upper: Node) -> Node:
+        """Close all that is open below ``upper``."""
+        up = node
+        while up is not upper:
+            opened[up.tag] -= 1
+            up = up.parent
+        return upper
+
     while True:
         found = search(html, at)
         if found is None:
@@ -106,44 +149,50 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if found[1]:
-            up = node
-            block = tag in BLOCKS
-            while up is not None and up.tag != tag:
-                up = up.parent if block or up.tag not in BLOCKS else None
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened.get(tag) and missed != (node, tag):
+                up = node
+                block = tag in BLOCKS
+                while up is not None and up.tag != tag:
+                    up = up.parent if block or up.tag not in BLOCKS else None
+                if up is not None:
+                    node = leave(up.parent)
+                else:
+                    missed = (node, tag)
             elif tag == "br":
                 node.parts.append(" ")
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and opened.get("p"):
             up = node
             while up.tag not in BLOCKS and up.parent is not None:
                 up = up.parent
             if up.tag == "p":  # a paragraph ends where the next block begins
-                node = up.parent
+                node = leave(up.parent)
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
-            up = node
-            while up is not None and up.tag not in bounds:
-                if up.tag in ends:
-                    node = up.parent
-                up = up.parent
+            if left := sum(opened.get(end, 0) for end in ends):
+                up, upper = node, node
+                while left and up is not None and up.tag not in bounds:
+                    if up.tag in ends:
+                        upper = up.parent
+                        left -= 1
+                    up = up.parent
+                node = leave(upper)
         if tag in VOID:
             node.parts.append(" " if tag == "br" else Node(tag, node))
             continue
-        child = Node(tag, node, _is_dropped(tag, found[3], node))
+        child = Node(tag, node, _is_dropped(tag, found[3], bool(opened.get("article") or opened.get("main"))))
         node.parts.append(child)
         if tag in RAW:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif not found[3].endswith("/") or tag not in ("svg", "path"):
             node = child
+            opened[tag] = opened.get(tag, 0) + 1
 
 
 def _measure(root: Node) -> list[Node]:
-    """Set characters, linked characters and scores; the containers that got points, in page order."""
+    """Set characters, linked characters and scores; the elements that are not furniture, in page order."""
     stack: list[tuple[Node, bool]] = [(root, False)]
-    paragraphs: list[tuple[Node, int, int]] = []
     order: list[Node] = []
     while stack:
         node, seen = stack.pop()
@@ -154,25 +203,29 @@ def _measure(root: Node) -> list[Node]:
             stack.append((node, True))
             stack.extend((part, False) for part in reversed(node.parts) if isinstance(part, Node))
             continue
-        own = [part for part in node.parts if isinstance(part, str)]
-        node.chars = sum(len(part.strip()) for part in own)
-        commas = sum(part.count(",") for part in own)
-        inline = 0
+        commas = inline = 0
         for part in node.parts:
-            if isinstance(part, Node) and not part.dropped:
+            if isinstance(part, str):
+                text = len(part.strip())
+                node.chars += text
+                inline += text
+                commas += part.count(",")
+            elif not part.dropped:
                 node.chars += part.chars
                 node.linked += part.linked
-                inline += part.chars if part.tag not in BLOCKS else 0
+                inline += part.chars - part.linked if part.tag not in BLOCKS else 0
         if node.tag == "a":
             node.linked = node.chars
-        if node.tag in PARAGRAPHS or (node.tag in BLOCKS and sum(map(len, own)) + inline > 80):
-            paragraphs.append((node, node.chars, commas))
-    for node, chars, commas in paragraphs:
-        points = 1 + commas + chars / 100
-        share, up = 1.0, node.parent if node.tag in PARAGRAPHS else node
-        while up is not None and share > 0.01:
-            up.score += points * share
-            share, up = share / 2, up.parent
+        told = node.chars - node.linked
+        points = 1 + commas + told / 100 if told else 0.0
+        if node.tag in PARAGRAPHS:
+            if node.parent is not None:
+                node.parent.score += points
+        elif node.tag in BLOCKS and inline and not re.fullmatch("h[1-6]", node.tag):
+            node.score += 1 + commas + inline / 100
+        # children come before their parents here, so what they have passed up is complete
+        if node.parent is not None:
+            node.parent.score += node.score / 2
     return order
 
 
@@ -180,7 +233,7 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _blocks(nodes: list[Node]) -> Iterator[str]:
+def _blocks(nodes: list[Node | str]) -> Iterator[str]:
     """The texts of all blocks in page order."""
     held: list[str] = []
     for top in nodes:
@@ -201,9 +254,53 @@ def _blocks(nodes: list[Node]) -> Iterator[str]:
             if part.tag in BLOCKS:
                 stack.append(None)
             stack.extend(reversed(part.parts))
-        if held:
-            yield "".join(held)
-            held = []
+    if held:
+        yield "".join(held)
+
+
+def _has_text(part: Node | str) -> bool:
+    return bool(part.strip()) if isinstance(part, str) else not part.dropped and part.chars > 0
+
+
+def _drop_menus(top: Node) -> None:
+    """Take out the blocks that are links and next to nothing else."""
+    stack = [top]
+    while stack:
+        for part in stack.pop().parts:
+            if isinstance(part, Node) and not part.dropped:
+                part.dropped = part.tag in MENUS and _density(part) >= MENU
+                stack.append(part)
+
+
+def _with_siblings(best: Node) -> list[Node | str]:
+    """What is kept: the best container, and on the way up what stands beside it."""
+    bound = best
+    while bound is not None and bound.tag not in ("article", "main"):
+        bound = bound.parent
+    if bound is not None:
+        return [bound]
+    kept: list[Node | str] = [best]
+    up, nearest = best, True
+    while up.parent is not None and up.tag not in ("html", "body"):
+        beside = [part for part in up.parent.parts if part is not up and _has_text(part)]
+
+        def stays(part: Node | str) -> bool:
+            if isinstance(part, str) or part.tag not in BLOCKS:
+                return nearest or up.parent.tag not in ("html", "body", "#page")
+            if _density(part) >= LINKED:
+                return False
+            return nearest or bool(re.fullmatch("h[1-6]", part.tag)) or part.score * (1 - _density(part)) >= POINTS
+
+        places = {id(part): i for i, part in enumerate(up.parent.parts)}
+        own = places[id(up)]
+        staying = [part for part in beside if stays(part)]
+        kept = [p for p in staying if places[id(p)] < own] + kept + [p for p in staying if places[id(p)] > own]
+        nearest = nearest and not beside
+        up = up.parent
+    for part in kept:
+        if isinstance(part, Node):
+            _drop_menus(part)
+    return kept
 
 
 def extract(html: str | None) -> str:
@@ -211,30 +308,13 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    order = _measure(root)
     best, most = root, 0.0
-    for node in order:
+    for node in _measure(root):
         if node.tag in BLOCKS and node.chars and node.tag not in ("html", "body"):
-            score = (node.score + BONUS.get(node.tag, 0.0)) * (1 - _density(node))
-            if score > most and (node.score or node.tag in ("article", "main")):
+            score = node.score * (1 - _density(node))
+            if score and score >= most:  # of equals the inner one
                 best, most = node, score
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    if up is not None:
-        nodes = [up]
-    elif best.parent is None or best.tag in ("html", "body"):
-        nodes = [best]
-    else:
-        nodes = []
-        for part in best.parent.parts:
-            if part is best:
-                nodes.append(part)
-            elif isinstance(part, Node) and not part.dropped and part.chars:
-                near = part.score * (1 - _density(part)) >= max(1.5, SIBLING * most)
-                if near or (re.fullmatch("p|h[1-6]", part.tag) and _density(part) < 0.25):
-                    nodes.append(part)
-    texts = (" ".join(unescape(block).split()) for block in _blocks(nodes))
+    texts = (" ".join(unescape(block).split()) for block in _blocks(_with_siblings(best)))
     return "\n".join(text for text in texts if text)
 
 

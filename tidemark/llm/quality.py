@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spread import fresh
+
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -124,32 +126,33 @@ def line_fails(line: Column) -> Column:
 
 def assess(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_loss: float = MAX_LOSS) -> DataFrame:
     """``df`` with the counts, the verdicts and the cleaned text of each row."""
-    kept = [c for c in df.columns if c not in ADDED]
+    kept = [c for c in df.columns if c.lower() not in ADDED]
+    whole, word, line, dup, good, repeat = fresh([*kept, *ADDED], "_content", "_words", "_lines", "_dup", "_good", "_repeat")
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = df.select(*(F.col(f"`{c}`") for c in kept), content.alias("_content"))
-    rows = _computed(rows, {"_words": _words(F.col("_content")), "_lines": F.split("_content", "\n")})
+    rows = df.select(*(F.col(f"`{c}`") for c in kept), content.alias(whole))
+    rows = _computed(rows, {word: _words(F.col(whole)), line: F.split(whole, "\n")})
     has_word = lambda line: F.translate(line, BLANKS, "") != ""
     rows = _computed(
         rows,
         {
-            "_dup": _let(F.filter("_lines", has_word), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))),
-            "_good": F.filter("_lines", lambda line: ~(has_word(line) & line_fails(line))),
-            "_repeat": repeated_words("_words"),
+            dup: _let(F.filter(line, has_word), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))),
+            good: F.filter(line, lambda line: ~(has_word(line) & line_fails(line))),
+            repeat: repeated_words(word),
         },
     )
-    n_words, n_repeat = F.size("_words").cast("long"), F.col("_repeat").cast("long")
+    n_words, n_repeat = F.size(word).cast("long"), F.col(repeat).cast("long")
     failed = (n_words < min_words) | (n_repeat * 100 > n_words * 50)
-    cleaned = F.array_join("_good", "\n")
+    cleaned = F.array_join(good, "\n")
     rows = rows.withColumns(
         {
             "n_words": n_words,
-            "word_chars": F.length(F.translate("_content", BLANKS, "")).cast("long"),
-            "n_symbols": _symbols(F.col("_content")).cast("long"),
-            "n_dup_lines": F.col("_dup").cast("long"),
+            "word_chars": F.length(F.translate(whole, BLANKS, "")).cast("long"),
+            "n_symbols": _symbols(F.col(whole)).cast("long"),
+            "n_dup_lines": F.col(dup).cast("long"),
             "n_repeat_words": n_repeat,
             "base_failed": failed,
             "cleaned": F.when(F.col(f"`{text}`").isNotNull(), cleaned),
-            "loss": 1 - F.length(cleaned) / F.greatest(F.length("_content"), F.lit(1)),
+            "loss": 1 - F.length(cleaned) / F.greatest(F.length(whole), F.lit(1)),
         }
     )
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("loss") <= max_loss))
@@ -158,7 +161,8 @@ def assess(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_lo
 
 def cleaned_documents(df: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """The documents that are kept, without the lines that failed; the columns of ``df``."""
-    held = {c: f"_held_{c}" for c in df.columns if c in ADDED}  # their own values, under other names meanwhile
+    clashing = [c for c in df.columns if c.lower() in ADDED]
+    held = dict(zip(clashing, fresh(df.columns, *(f"_held_{c}" for c in clashing))))  # their own values, under other names meanwhile
     good = assess(df.withColumnsRenamed(held), text).filter("kept")
-    fresh = {text: F.col("cleaned"), chars: F.length("cleaned").cast("long")}
-    return good.select(*(fresh[c].alias(c) if c in fresh else F.col(f"`{held.get(c, c)}`").alias(c) for c in df.columns))
+    made = {text: F.col("cleaned"), chars: F.length("cleaned").cast("long")}
+    return good.select(*(made[c].alias(c) if c in made else F.col(f"`{held.get(c, c)}`").alias(c) for c in df.columns))
