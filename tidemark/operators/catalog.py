@@ -48,6 +48,21 @@ def read_log(spark: SparkSession, folder: str, start: int = 0) -> DataFrame:
     return rows.filter(F.col("schema_seq") >= start).withColumn("kind", checked).orderBy("schema_seq")
 
 
+def admit(ops: DataFrame, order: str = "schema_seq", text: str = "op") -> DataFrame:
+    """(order, kind, object_id, outcome) of framed operations: JSON texts with version, kind and object_id.
+
+    A reader stops at the first operation that it cannot read, whose version or kind it does not know:
+    that one is refused, and all behind it wait.
+    """
+    read = F.from_json(text, "version int, kind string, object_id string")
+    rows = ops.select(order, read.alias("r")).select(order, "r.version", "r.kind", "r.object_id")
+    known = F.coalesce((F.col("version") == VERSION) & F.col("kind").isin(*KINDS), F.lit(False))
+    first = rows.filter(~known).agg(F.min(order).alias("_stop"))
+    outcome = F.when(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")), "admitted").when(F.col(order) == F.col("_stop"), "refused").otherwise("held")
+    stop = first.first()["_stop"]
+    return rows.withColumn("_stop", F.lit(stop).cast(rows.schema[order].dataType)).select(order, "kind", "object_id", outcome.alias("outcome"))
+
+
 def valid_chain(events: DataFrame) -> DataFrame:
     """Adds in_order: whether each event's parent is the event before it.
 

@@ -6,7 +6,9 @@ in order is a sweep over ranges of the sort (see ``placing``), so one writer tak
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.workspace import materialize
@@ -95,7 +97,19 @@ def recover(snapshot: DataFrame, log: DataFrame, markers: DataFrame) -> DataFram
     return snapshot.unionByName(above.select(*snapshot.columns))
 
 
-def write_epochs(records: DataFrame, path: str) -> None:
-    """Records as zstd Parquet by origin, sorted so that row groups have narrow seq statistics."""
-    spread = records.repartition("origin", F.floor(F.col("seq") / 1_000_000)).sortWithinPartitions("origin", "seq")
+def write_epochs(records: DataFrame, path: str, span: int = 1_000_000) -> None:
+    """Append records to a journal: zstd Parquet by origin, ``span`` seqs to a file, sorted so that row groups have narrow statistics."""
+    spread = records.repartition("origin", F.floor(F.col("seq") / span)).sortWithinPartitions("origin", "seq")
     spread.write.mode("append").option("compression", "zstd").partitionBy("origin").parquet(path)
+
+
+def read_epochs(spark: SparkSession, path: str, origins: Sequence[int] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Records of a journal, of some writers and from ``low`` to ``high``; other folders and row groups are not read."""
+    rows = spark.read.parquet(path)
+    if origins is not None:
+        rows = rows.filter(F.col("origin").isin(*origins))
+    if low is not None:
+        rows = rows.filter(F.col("seq") >= low)
+    if high is not None:
+        rows = rows.filter(F.col("seq") <= high)
+    return rows.withColumn("origin", F.col("origin").cast("long"))

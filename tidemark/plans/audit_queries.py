@@ -134,3 +134,21 @@ def st4(spark, d):
 def st5(spark, d):
     """The cell merge fed by a stream: every record in some micro-batch, late and repeated ones included."""
     return feed.stream_merge(spark, d)
+
+
+@query("st5_streaming_counters", over_log("SELECT pk, cl, cast(sum(n) AS BIGINT) AS total, true AS in_range FROM newest WHERE cl % 2 = 1 GROUP BY pk, cl"))
+def st5_counters(spark, d):
+    """The counters of the same stream, whose repeated records count once."""
+    return merge.merge_counters(feed.stream_state(spark, d)).withColumn("total", F.col("total").cast("long"))
+
+
+@query("cp13_batch_sink", over_log("SELECT origin, seq, CASE WHEN seq % 13 = 0 THEN 2 ELSE 1 END AS times FROM log"))
+def cp13(spark, d):
+    """What readers see of a log that a sink has written and published in batches."""
+    return feed.drained(spark, d).groupBy("origin", "seq").agg(F.count("*").alias("times"))
+
+
+@query("st7_drained_batches", over_log("SELECT 3 AS batches, count(*) + count(*) FILTER (seq % 13 = 0) AS records FROM log"))
+def st7(spark, d):
+    """Six files, two to a batch."""
+    return feed.drained(spark, d, files_per_batch=2).agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("records"))

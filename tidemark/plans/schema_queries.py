@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import MergeEngine
 from tidemark.operators import catalog
+from tidemark.sources import workspace
 from tidemark.sources.changelog import change_log, row_log, table
 
 from .merge_queries import ROWS
@@ -40,6 +41,34 @@ def sc2(spark, d):
     return catalog.page(events, 100, 50).select("schema_seq", "object_id").join(F.broadcast(catalog.head(events)), F.col("schema_seq") <= F.col("head"))
 
 
+KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in catalog.KINDS) + "]"
+
+
+@query("sc3_schema_log_file", f"SELECT n_nationkey + 1 AS schema_seq, n_nationkey AS parent_seq, {KINDS_SQL}[n_nationkey % 19 + 1] AS kind, n_name AS name, (SELECT count(*) FROM nation) AS refused FROM nation")
+def sc3(spark, d):
+    """A schema log on disk: one event for each nation, each of them tried twice from the same parent."""
+    folder = workspace.new_dir(spark, "schema-log")
+    refused = 0
+    for row in table(spark, d, "nation").orderBy("n_nationkey").collect():  # a log of DDL statements is written one by one
+        event = {"kind": catalog.KINDS[row["n_nationkey"] % 19], "object_id": f"o{row['n_nationkey']}", "name": row["n_name"]}
+        catalog.append(spark, folder, row["n_nationkey"], event)
+        refused += not catalog.append(spark, folder, row["n_nationkey"], event)
+    return catalog.read_log(spark, folder).select("schema_seq", "parent_seq", "kind", "name", F.lit(refused).cast("long").alias("refused"))
+
+
+@query(
+    "sc13_version_gate",
+    f"""WITH o AS (SELECT p_partkey AS schema_seq, CASE WHEN p_partkey % 149 = 148 THEN 'explode_table' ELSE {KINDS_SQL}[p_partkey % 19 + 1] END AS kind, 'o' || p_partkey AS object_id FROM part)
+    SELECT schema_seq, kind, object_id, CASE WHEN schema_seq < 148 THEN 'admitted' WHEN schema_seq = 148 THEN 'refused' ELSE 'held' END AS outcome FROM o""",
+)
+def sc13(spark, d):
+    k = F.col("p_partkey")
+    kind = F.when(k % 149 == 148, "explode_table").otherwise(F.element_at(F.array(*map(F.lit, catalog.KINDS)), (k % 19 + 1).cast("int")))
+    version = F.when(k % 211 == 210, 9).otherwise(1)
+    ops = table(spark, d, "part").select(k.alias("schema_seq"), F.to_json(F.struct(version.alias("version"), kind.alias("kind"), F.concat(F.lit("o"), k.cast("string")).alias("object_id"))).alias("op"))
+    return catalog.admit(ops)
+
+
 @query("sc5_catalog_fold", f"WITH {EVENTS} {FOLD.format(where='')}")
 def sc5(spark, d):
     return catalog.fold(_events(spark, d))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import merge, storage
-from tidemark.sources.changelog import row_log, stamped_events, table
+from tidemark.sources import workspace
+from tidemark.sources.changelog import change_log, row_log, stamped_events, table
 
 from .merge_queries import ROWS
 from .registry import query
@@ -27,6 +28,23 @@ FILES += ", f0 AS (SELECT origin, lo, hi, max(at) AS at FROM fl0 GROUP BY origin
 FREE = "NOT EXISTS (SELECT 1 FROM f1 WHERE f1.origin = f0.origin AND f0.lo >= f1.lo AND f0.hi <= f1.hi)"
 
 
+def _journal(spark, d):
+    """The derived log as a journal on disk."""
+    folder = workspace.new_dir(spark, "journal")
+    storage.write_epochs(change_log(spark, d).drop("event_id"), folder, span=500)
+    return folder
+
+
+@query("io1_journal_tail", over_log("SELECT origin, seq, hlc, pk, cl, op, a, b, n FROM log WHERE seq > 1000"))
+def io1(spark, d):
+    return storage.read_epochs(spark, _journal(spark, d), low=1001)
+
+
+@query("io2_mirror_log", over_log("SELECT origin, seq, op, pk FROM log WHERE origin IN (2, 4) AND seq BETWEEN 300 AND 900"))
+def io2(spark, d):
+    return storage.read_epochs(spark, _journal(spark, d), origins=[2, 4], low=300, high=900).select("origin", "seq", "op", "pk")
+
+
 @query("io3_frames_overlapping", f"WITH {FILES.replace(' AS at', ' AS tm').replace('max(at)', 'max(tm)')} SELECT origin, lo, hi FROM f0 WHERE origin = 7 AND lo <= 300 AND hi >= 100")
 def io3(spark, d):
     small, _ = _files(spark, d)
@@ -103,6 +121,4 @@ def io12(spark, d):
 
 @query("io15_dump", over_log("SELECT origin || ':' || seq || ' ' || op || ' pk=' || pk || ' cl=' || cl AS line FROM log"))
 def io15(spark, d):
-    from tidemark.sources.changelog import change_log
-
     return change_log(spark, d).select(F.format_string("%d:%d %s pk=%d cl=%d", "origin", "seq", "op", "pk", "cl").alias("line"))

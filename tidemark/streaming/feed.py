@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators import merge
+from tidemark.operators import frontier, merge
 
 #: Bytes of a key and of a table name in a feed slot.
 PK_BYTES, TABLE_BYTES = 72, 32
@@ -82,49 +82,118 @@ def merged_stream(records: DataFrame) -> DataFrame:
     return records.groupBy("pk").transformWithStateInPandas(statefulProcessor=Merger(), outputStructType="pk long, cl long, a double, b string, n long", outputMode="Update", timeMode="None")
 
 
+def _newest_version(spark: SparkSession, target: str, below: int) -> str | None:
+    """The newest whole version below a batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for version in range(below - 1, -1, -1):
+        done = path(f"{target}/{version:06d}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return f"{target}/{version:06d}"
+    return None
+
+
 def incremental(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 4) -> None:
-    """Merge all files below ``source`` in micro-batches into cell states below ``target``.
+    """Merge all files below ``source`` in micro-batches into cell and counter states below ``target``.
 
     Each batch folds its records and the previous states together: a state is itself a record of
-    its generation, so the result is that of merging everything at once. Versions are folders
-    named by batch; rerunning a batch writes the same folder.
+    its generation, so the result is that of merging everything at once. Contributions to counters
+    count once for each dot; the dots seen are kept as ranges, which shrink to one range a
+    writer as its gaps fill. Versions are folders named by batch; rerunning a batch writes the same folder.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        states = batch.select("pk", "cl", "hlc", "origin", "a", "b")
         # the fold may start from the newest version below this batch only
-        for version in range(number - 1, -1, -1):
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{version:06d}/_SUCCESS")
-            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-                states = states.unionByName(spark.read.parquet(f"{target}/{version:06d}"))
-                break
+        before, seen = _newest_version(spark, target, number), _newest_version(spark, f"{target}-dots", number)
+        fresh = merge.once(batch.select("origin", "seq", "pk", "cl", "hlc", "a", "b", "n"))
+        dots = frontier.ranges_of(fresh)
+        if seen is not None:
+            held = spark.read.parquet(seen)
+            points = fresh.withColumns({"lo": F.col("seq"), "hi": F.col("seq")})
+            fresh = frontier.meets(points, held).withColumn("n", F.when(~F.col("met"), F.col("n")))
+            dots = frontier.merge_intervals(held.unionByName(dots))
+        states = fresh.select("pk", "cl", "hlc", "origin", "a", "b", "n")
+        if before is not None:
+            states = states.unionByName(spark.read.parquet(before))
         cells = merge.cells(states, ["a", "b"])
-        newest = states.groupBy("pk").agg(F.max("cl").alias("cl"))
+        newest = states.groupBy("pk", "cl").agg(F.sum("n").alias("n")).groupBy("pk").agg(F.max_by(F.struct("cl", "n"), "cl").alias("w")).select("pk", "w.cl", "w.n")
         winner = F.max_by(F.struct("hlc", "origin", "val"), F.struct("hlc", "origin")).alias("w")
         kept = cells.join(newest, ["pk", "cl"], "left_semi").groupBy("pk", "cl", "col").agg(winner)
-        rows = newest.join(kept, ["pk", "cl"], "left").select(
+        rows = kept.select(
             "pk",
             "cl",
-            F.coalesce("w.hlc", F.lit(0)).alias("hlc"),
-            F.coalesce("w.origin", F.lit(0)).alias("origin"),
+            F.col("w.hlc").alias("hlc"),
+            F.col("w.origin").alias("origin"),
             F.when(F.col("col") == "a", F.col("w.val").cast("double")).alias("a"),
             F.when(F.col("col") == "b", F.col("w.val")).alias("b"),
+            F.lit(None).cast("long").alias("n"),
         )
+        zero = F.lit(0).cast("long")
+        rows = rows.unionByName(newest.select("pk", "cl", zero.alias("hlc"), zero.alias("origin"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("string").alias("b"), "n"))
         rows.write.mode("overwrite").parquet(f"{target}/{number:06d}")
+        dots.write.mode("overwrite").parquet(f"{target}-dots/{number:06d}")
 
     stream = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived log, written out of order and with repeats, streamed back and merged."""
+def drain(records: DataFrame, journal: str, checkpoint: str, on_published=None) -> None:
+    """Write a stream of records to ``journal`` in batches, each published only when all of it is written.
+
+    A batch is a folder; its marker below ``_published`` is made after the folder is whole, so readers
+    of :func:`published` never see part of one, and a rerun batch writes the same folder again.
+    ``on_published`` is called with the number and the rows of each published batch.
+    """
+    spark = records.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def apply(batch: DataFrame, number: int) -> None:
+        folder = f"{journal}/batch={number:06d}"
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        marker = path(f"{journal}/_published/{number:06d}")
+        marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
+        if on_published is not None:
+            on_published(number, spark.read.schema(batch.schema).parquet(folder))
+
+    records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def published(spark: SparkSession, journal: str, schema: str = RECORD) -> DataFrame:
+    """The records of the published batches, with the column ``batch``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{journal}/_published")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = sorted(status.getPath().getName() for status in files.listStatus(path)) if files.exists(path) else []
+    if not numbers:
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(schema).option("basePath", journal).parquet(*(f"{journal}/batch={n}" for n in numbers))
+
+
+def _log_stream(spark: SparkSession, sf_dir: str, files_per_batch: int) -> tuple[DataFrame, str]:
+    """The derived log, written out of order and with repeats in six files, as a stream; and a scratch folder."""
     from tidemark.sources import workspace
     from tidemark.sources.changelog import change_log, with_repeats
 
     folder = workspace.new_dir(spark, "stream")
-    late = with_repeats(change_log(spark, sf_dir)).drop("event_id").repartition(6, F.xxhash64("seq", "origin"))
-    late.write.parquet(f"{folder}/log")
+    with_repeats(change_log(spark, sf_dir)).drop("event_id").repartition(6, F.xxhash64("seq", "origin")).write.parquet(f"{folder}/log")
+    return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/log"), folder
+
+
+def drained(spark: SparkSession, sf_dir: str, files_per_batch: int = 2) -> DataFrame:
+    """The derived log through :func:`drain`: what readers see of it."""
+    stream, folder = _log_stream(spark, sf_dir, files_per_batch)
+    drain(stream, f"{folder}/journal", f"{folder}/checkpoint")
+    return published(spark, f"{folder}/journal")
+
+
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of :func:`incremental` over the derived log."""
+    from tidemark.sources import workspace
+
+    _, folder = _log_stream(spark, sf_dir, 2)
     incremental(spark, f"{folder}/log", f"{folder}/state", f"{folder}/checkpoint", files_per_batch=2)
-    last = sorted(workspace.folders(spark, f"{folder}/state"))[-1]
-    return merge.merge_cells(spark.read.parquet(f"{folder}/state/{last}"))
+    return spark.read.parquet(f"{folder}/state/{sorted(workspace.folders(spark, f'{folder}/state'))[-1]}")
+
+
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log, written out of order and with repeats, streamed back and merged."""
+    return merge.merge_cells(stream_state(spark, sf_dir))
