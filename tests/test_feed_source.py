@@ -16,3 +16,18 @@ def test_batch_filter_and_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(map(tuple, spark.read.schema(feed_source.SCHEMA).parquet(str(tmp_path / "out")).collect())) == sorted(ROWS)
+
+
+def test_a_late_file_with_a_smaller_name_is_delivered_once(spark, tmp_path):
+    feed_source.register(spark)
+    folder = f"file://{tmp_path}/log"
+
+    def run():
+        stream = spark.readStream.format("tidemark_changes").load(folder).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    spark.createDataFrame(ROWS[::2], feed_source.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "log/z"))
+    run()
+    spark.createDataFrame(ROWS[1::2], feed_source.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "log/a"))
+    run()
+    assert sorted(map(tuple, spark.read.schema(feed_source.SCHEMA).parquet(str(tmp_path / "out")).collect())) == sorted(ROWS)

@@ -3,12 +3,13 @@
 import random
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.engine import MergeEngine
 from tidemark.functions import clock, codec, ids, predicate
-from tidemark.operators import audit, catalog, placing, ranges, unique
+from tidemark.operators import audit, catalog, frontier, placing, ranges, unique
 
 
 def test_crc64_of_the_usual_check_text():
@@ -196,3 +197,42 @@ def test_running_and_scan_equal_windows(spark):
             values = [x[2] for x in own[:i] if x[2] is not None]
             expected.append((r[1], own[i - 1][2] if i else None, max(values, default=None), sum(x[3] for x in own[:i])))
     assert sorted(map(str, ((r["at"], r["was"], r["top"], r["ahead"]) for r in found.collect()))) == sorted(map(str, expected))
+
+
+def test_checksums_of_many_values():
+    rng = random.Random(1)
+    values = [rng.randbytes(rng.choice([0, 1, 5, 9, 300])) for _ in range(60)] + [b"123456789"]
+    assert codec.crc64_many(values) == [codec.crc64(v) for v in values] and codec.crc64_many([]) == []
+
+
+def test_rendered_predicates_are_sql(spark):
+    rows = spark.createDataFrame([("", 1), ("'a'", 2), ("it's", 3), (None, 4)], "c string, i int")
+    for text in ("", "'a'", "it's"):
+        tree = ("=", "c", text)
+        assert predicate.parse(predicate.render(tree)) == tree
+        assert [r["i"] for r in predicate.participating(rows, tree).collect()] == [r["i"] for r in rows.collect() if r["c"] == text]
+        assert duckdb.sql(f"SELECT {predicate.render(tree)} FROM (SELECT $1 AS c)", params=[text]).fetchall() == [(True,)]
+    assert predicate.participating(rows, ("in", "c", ())).count() == 0 and predicate.participating(rows, ("not_in", "c", ())).count() == 4
+
+
+def test_overlay_of_many_patches_on_one_key(spark):
+    rng = random.Random(9)
+    rows = [(1, s := rng.randint(0, 300), s + rng.randint(1, 80), rng.randint(0, 50), rng.randint(1, 3)) for _ in range(150)] + [(2, 5, 6, 1, 1)]
+    found = ranges.overlay(spark.createDataFrame(rows, "pk long, start long, end long, hlc long, origin long")).collect()
+    cover = {}
+    for pk, start, end, hlc, origin in rows:
+        for i in range(start, end):
+            cover[pk, i] = max(cover.get((pk, i), (0, 0)), (hlc, origin))
+    assert {(r["pk"], i): (r["hlc"], r["origin"]) for r in found for i in range(r["start"], r["end"])} == cover
+    by = sorted((r["pk"], r["start"], r["end"], r["hlc"], r["origin"]) for r in found)
+    assert all(not (a[0] == b[0] and a[2] == b[1] and a[3:] == b[3:]) for a, b in zip(by, by[1:]))
+
+
+def test_fetch_plan_has_a_cap_for_each_kind(spark):
+    held = spark.createDataFrame([(1, 1, 5), (2, 2, 3), (2, 6, 7), (2, 10, 11), (3, 1, 2)], "origin long, lo long, hi long")
+    tips = spark.createDataFrame([(1, 9), (2, 20), (3, 9), (4, 3)], "origin long, tip long")
+    coverage = spark.createDataFrame([(2, 1, 1), (2, 12, 13), (3, 50, 60)], "origin long, lo long, hi long")
+    plan = lambda *more, **named: sorted((r["serveable"], r["place"], r["origin"], r["lo"], r["hi"]) for r in frontier.plan(held, tips, *more, **named).collect())
+    assert plan(coverage, 10, own=1) == [(False, 1, 2, 4, 5), (False, 2, 2, 8, 9), (False, 3, 3, 3, 9), (False, 4, 4, 1, 3), (True, 1, 2, 1, 1), (True, 2, 2, 12, 20)]
+    assert plan(coverage, 1, own=1) == [(False, 1, 2, 4, 5), (True, 1, 2, 1, 1)]
+    assert all(r[0] for r in plan(None, 10)) and len(plan(None, 10)) == 7

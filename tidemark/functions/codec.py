@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,38 +72,68 @@ def decode_tuple(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda blob: ",".join(str(struct.unpack(">q", value)[0]) for _, _, value in range_tuple(bytes(blob))))
 
 
-_TABLE: list[int] = []
+def _remainders() -> np.ndarray:
+    """The remainders of all bytes."""
+    values = np.arange(256, dtype=np.uint64)
+    for _ in range(8):
+        values = values >> np.uint64(1) ^ np.where(values & np.uint64(1), np.uint64(ECMA), np.uint64(0))
+    return values
 
 
-def crc64(data: bytes) -> int:
-    if not _TABLE:
-        for byte in range(256):
-            value = byte
-            for _ in range(8):
-                value = value >> 1 ^ (ECMA if value & 1 else 0)
-            _TABLE.append(value)
-    value = 0xFFFFFFFFFFFFFFFF
-    for byte in data:
-        value = _TABLE[(value ^ byte) & 255] ^ value >> 8
-    return value ^ 0xFFFFFFFFFFFFFFFF
+_TABLE = _remainders()
+_ROWS = _TABLE.tolist()
+_ALL = (1 << 64) - 1
 
 
-def pack_changeset(head: tuple[int, int, int], records: Sequence[tuple]) -> bytes:
-    """Version, dot, clock, the records (pk, cl, op, cells) and a checksum over all of it."""
+def crc64(data: bytes) -> int:
+    value = _ALL
+    for byte in data:
+        value = _ROWS[(value ^ byte) & 255] ^ value >> 8
+    return value ^ _ALL
+
+
+def crc64_many(values: Sequence[bytes]) -> list[int]:
+    """The checksums of many values at once: one step for each place, over all values that are that long."""
+    order = sorted(range(len(values)), key=lambda i: -len(values[i]))
+    sizes = np.array([len(values[i]) for i in order], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(values[i] for i in order), np.uint8)
+    state = np.full(len(values), _ALL, np.uint64)
+    for place in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -place, side="left"))  # values longer than this place come first
+        state[:n] = _TABLE[(state[:n] ^ flat[starts[:n] + place]) & np.uint64(255)] ^ state[:n] >> np.uint64(8)
+    out = [0] * len(values)
+    for i, value in zip(order, (state ^ np.uint64(_ALL)).tolist()):
+        out[i] = value
+    return out
+
+
+def pack_body(head: tuple[int, int, int], records: Sequence[tuple]) -> bytes:
+    """Version, dot, clock and the records (pk, cl, op, cells)."""
     body = bytearray(b"\x02" + b"".join(map(_write_varint, head)) + _write_varint(len(records)))
     for pk, cl, op, cells in records:
         body += struct.pack(">q", pk) + _write_varint(cl) + op.encode() + _write_varint(len(cells))
         for cell in cells:
             data = b"" if cell is None else cell.encode()
             body += bytes([NULL if cell is None else TEXT]) + _write_varint(len(data)) + data
-    return bytes(body) + struct.pack("<Q", crc64(bytes(body)))
+    return bytes(body)
+
+
+def pack_changeset(head: tuple[int, int, int], records: Sequence[tuple]) -> bytes:
+    """The body of a changeset and a checksum over all of it."""
+    body = pack_body(head, records)
+    return body + struct.pack("<Q", crc64(body))
 
 
 def unpack_changeset(data: bytes) -> tuple[tuple[int, int, int], list[tuple]]:
     """Head and records; ValueError for another version, a damaged checksum or bytes left over."""
-    body, checksum = data[:-8], struct.unpack("<Q", data[-8:])[0]
-    if crc64(body) != checksum:
+    if len(data) < 9 or crc64(data[:-8]) != struct.unpack("<Q", data[-8:])[0]:
         raise ValueError("checksum does not match")
+    return unpack_body(data[:-8])
+
+
+def unpack_body(body: bytes) -> tuple[tuple[int, int, int], list[tuple]]:
+    """Head and records of a body whose checksum was right."""
     if body[0] != 2:
         raise ValueError("unknown version")
     at, head = 1, []
@@ -135,7 +166,8 @@ def encode_changesets(log: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            made = [pack_changeset((o, s, h), [(r["pk"], r["cl"], r["op"], tuple(r["cells"])) for r in rs]) for o, s, h, rs in rows.itertuples(index=False)]
+            bodies = [pack_body((o, s, h), [(r["pk"], r["cl"], r["op"], tuple(r["cells"])) for r in rs]) for o, s, h, rs in rows.itertuples(index=False)]
+            made = [body + struct.pack("<Q", crc) for body, crc in zip(bodies, crc64_many(bodies))]
             yield rows[["origin", "seq", "hlc"]].assign(payload=made)
 
     return grouped.mapInPandas(run, "origin long, seq long, hlc long, payload binary")
@@ -148,9 +180,12 @@ def decode_changesets(payloads: DataFrame) -> DataFrame:
         names = ["origin", "seq", "hlc", "pk", "cl", "op", "a", "b", "n", "intact"]
         for rows in batches:
             out = []
-            for origin, seq, hlc, payload in rows.itertuples(index=False):
+            bodies = [bytes(payload)[:-8] for payload in rows["payload"]]
+            for (origin, seq, hlc, payload), body, crc in zip(rows.itertuples(index=False), bodies, crc64_many(bodies)):
                 try:
-                    head, records = unpack_changeset(bytes(payload))
+                    if not body or crc != struct.unpack("<Q", bytes(payload)[-8:])[0]:
+                        raise ValueError("checksum does not match")
+                    head, records = unpack_body(body)
                     out += [(*head, pk, cl, op, *cells, True) for pk, cl, op, cells in records]
                 except (ValueError, IndexError, struct.error):
                     out.append((origin, seq, hlc, None, None, None, None, None, None, False))

@@ -97,6 +97,18 @@ def health(heads: DataFrame, tips: DataFrame, quarantined: DataFrame, held: Data
     return rows.select("origin", zero("head").alias("head"), "tip", (F.col("tip") - zero("head")).alias("lag"), zero("quarantined").alias("quarantined"), zero("held").alias("held"))
 
 
+def peers(progress: DataFrame, heads: DataFrame, now: int, silent: int) -> DataFrame:
+    """(peer, origin, peer_head, head, behind, ahead, last_seen, alive) of ``progress`` (peer, origin, peer_head, last_seen) against the own ``heads``.
+
+    A peer is alive if any of its reports is younger than ``silent``.
+    """
+    seen = progress.groupBy("peer").agg(F.max("last_seen").alias("last_seen"))
+    known = progress.groupBy("peer", "origin").agg(F.max("peer_head").alias("peer_head"))
+    rows = known.join(heads.select("origin", "head"), "origin", "left").join(seen, "peer").withColumn("head", F.coalesce("head", F.lit(0)))
+    apart = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0))
+    return rows.select("peer", "origin", "peer_head", "head", apart("head", "peer_head").alias("behind"), apart("peer_head", "head").alias("ahead"), "last_seen", (F.col("last_seen") > now - silent).alias("alive"))
+
+
 def orphans(clocks: DataFrame, rows: DataFrame, tables: DataFrame) -> DataFrame:
     """(tbl, orphans): live clocks without a physical row, of the tables that have any."""
     live = clocks.filter("cl % 2 = 1").groupBy("tbl").agg(F.count("*").alias("clocks"))

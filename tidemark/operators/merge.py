@@ -131,11 +131,11 @@ def effective(range_stamp: Column, cell_stamp: Column, base: Column) -> Column:
     return F.coalesce(range_stamp, cell_stamp, base)
 
 
-def pending_updates(log: DataFrame) -> DataFrame:
+def pending_updates(log: DataFrame, key: Sequence[str] = ("pk",)) -> DataFrame:
     """Winning row updates whose generation has no insert in sight: they wait."""
-    winners = log.groupBy("pk").agg(F.max_by(F.struct("cl", "op", "origin", "seq"), _order()).alias("w")).select("pk", "w.cl", "w.op", "w.origin", "w.seq")
-    inserts = log.filter("op = 'I'").select("pk", "cl")
-    return winners.filter("op = 'U'").join(inserts, ["pk", "cl"], "left_anti")
+    winners = log.groupBy(*key).agg(F.max_by(F.struct("cl", "op", "origin", "seq"), _order()).alias("w")).select(*key, "w.cl", "w.op", "w.origin", "w.seq")
+    inserts = log.filter("op = 'I'").select(*key, "cl")
+    return winners.filter("op = 'U'").join(inserts, [*key, "cl"], "left_anti")
 
 
 def live_cells(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:

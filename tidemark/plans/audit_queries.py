@@ -85,6 +85,21 @@ def hl1(spark, d):
     return audit.health(frontier.heads(_held(spark, d)), tips, _judged(spark, d)[1], change_log(spark, d).filter("seq % 9 > 5"))
 
 
+@query(
+    "hl1_peers",
+    over_log(
+        """SELECT peer, origin, peer_head, coalesce(head, 0) AS head, greatest(coalesce(head, 0) - peer_head, 0) AS behind, greatest(peer_head - coalesce(head, 0), 0) AS ahead, last_seen, last_seen > 4000 - 1500 AS alive
+        FROM (SELECT pk % 4 AS peer, origin, max(seq) AS peer_head FROM log GROUP BY ALL) JOIN (SELECT pk % 4 AS peer, max(seq % (1000 * (pk % 4 + 1))) AS last_seen FROM log GROUP BY ALL) USING (peer)
+        LEFT JOIN (SELECT origin, coalesce(max(CASE WHEN lo = 1 THEN hi END), 0) AS head FROM held GROUP BY origin) USING (origin)""",
+        HELD,
+    ),
+)
+def hl1_peers(spark, d):
+    peer = F.col("pk") % 4
+    progress = change_log(spark, d).select(peer.alias("peer"), "origin", F.col("seq").alias("peer_head"), (F.col("seq") % (1000 * (peer + 1))).alias("last_seen"))
+    return audit.peers(progress, frontier.heads(_held(spark, d)), 4000, 1500)
+
+
 @query(
     "hl2_restore_orphans",
     over_log("""SELECT tbl, clocks - present AS orphans FROM (SELECT 't' || pk % 5 AS tbl, count(*) FILTER (top % 2 = 1) AS clocks, count(*) FILTER (top % 2 = 1 AND pk % 4 > 0) AS present FROM (SELECT pk, max(cl) AS top FROM log GROUP BY pk) GROUP BY 1) WHERE clocks > present"""),

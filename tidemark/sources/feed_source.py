@@ -1,7 +1,8 @@
 """The change feed as a data source: ``spark.read.format("tidemark_changes").load(folder)``, batch and stream.
 
 The folder holds Parquet files of records (origin, seq, table_name, op, pk). A filter
-``table_name = ...`` is pushed into the file scan; the stream delivers files once each, by name.
+``table_name = ...`` is pushed into the file scan; the stream delivers files once each, in the order
+they were written.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ class FilePartition(InputPartition):
         self.path, self.table = path, table
 
 
-def _files(folder: str) -> list[str]:
+def _listed(folder: str) -> list:
     from pyarrow import fs
 
     place, root = fs.FileSystem.from_uri(folder)
-    return sorted(f.path for f in place.get_file_info(fs.FileSelector(root, recursive=True)) if f.path.endswith(".parquet"))
+    return [f for f in place.get_file_info(fs.FileSelector(root, recursive=True)) if f.path.endswith(".parquet")]
 
 
 def _read(folder: str, partition: FilePartition) -> Iterator[pa.RecordBatch]:
@@ -51,26 +52,34 @@ class ChangesReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(path, self.table) for path in _files(self.folder)]
+        return [FilePartition(path, self.table) for path in sorted(f.path for f in _listed(self.folder))]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         return _read(self.folder, partition)
 
 
 class ChangesStream(DataSourceStreamReader):
-    """Offsets count the files in name order; writers must give new files larger names."""
+    """Offsets are the time and name of the last file delivered, so a new file may have any name.
+
+    Files must not change once they are there, and must appear whole, as Spark's own writers make them.
+    """
 
     def __init__(self, folder: str):
         self.folder = folder
 
+    def _files(self) -> list[tuple[int, str]]:
+        return sorted((f.mtime_ns or 0, f.path) for f in _listed(self.folder))
+
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"time": 0, "path": ""}
 
     def latestOffset(self) -> dict:
-        return {"files": len(_files(self.folder))}
+        time, path = max(self._files(), default=(0, ""))
+        return {"time": time, "path": path}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [FilePartition(path) for path in _files(self.folder)[start["files"] : end["files"]]]
+        low, high = ((offset["time"], offset["path"]) for offset in (start, end))
+        return [FilePartition(path) for time, path in self._files() if low < (time, path) <= high]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         return _read(self.folder, partition)
