@@ -122,24 +122,26 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) LEFT JOIN (SELECT x AS d
 """
 
 
-OP4_SQL = r"""
+OP4_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
              list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS filled FROM d),
 g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, pos, line, len(line) - len(translate(line, '#*$%&|<>', '')) + len(line) - len(replace(line, '!!', '!')) AS sym, string_split_regex(trim(line), ' +') AS lw,
-             string_split_regex(line, ' +') AS lr, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled
+             list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ww, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled
       FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d)),
-v AS (SELECT doc_id, pos, line, filled AND ((sym > 0 AND sym * 3 >= len(lw))
+lg AS (SELECT doc_id, pos, i, ww[i] || ' ' || ww[i + 1] || ' ' || ww[i + 2] AS win FROM (SELECT doc_id, pos, ww, unnest(range(1, len(ww) - 1)) AS i FROM l WHERE len(ww) >= {quality.REPEAT_WORDS})),
+lc AS (SELECT doc_id, pos, count(DISTINCT p) AS inside FROM (SELECT doc_id, pos, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, pos, win) AS k FROM lg) WHERE k > 1) GROUP BY doc_id, pos),
+v AS (SELECT doc_id, pos, line, filled AND ((sym > 0 AND sym * {quality.SYMBOL_EVERY} >= len(lw))
         OR len(list_filter(string_split_regex(line, '[\s]'), lambda x: regexp_full_match(x, '\||>>?|»|›|·|•|/'))) >= 3
-        OR regexp_matches(line, '(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|(log|sign) in to|sign up for|subscribe to our|click here to|share (this|on) |follow us on|back to top|skip to (main )?content|lorem ipsum)')
-        OR (len(lr) >= 8 AND len(list_distinct(lr)) * 3 < len(lr))) AS fails FROM l),
+        OR (regexp_matches(line, '{quality.FURNITURE}') AND len(regexp_extract_all(line, '{quality.FURNITURE}')) * {quality.FURNITURE_EVERY} >= len(lw))
+        OR coalesce(inside, 0) * 2 > len(ww)) AS fails FROM l LEFT JOIN lc USING (doc_id, pos)),
 k AS (SELECT doc_id, sum(len(line)) FILTER (NOT fails) + greatest(count(*) FILTER (NOT fails) - 1, 0) AS chars FROM v GROUP BY doc_id)
 SELECT w.doc_id, cast(len(words) AS BIGINT) AS n_words, cast(len(array_to_string(words, '')) AS BIGINT) AS word_chars, cast(len(t) - len(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
        cast(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
        len(words) < 50 OR 100 * coalesce(n, 0) > 50 * len(words) AS base_failed,
-       NOT (len(words) < 50 OR 100 * coalesce(n, 0) > 50 * len(words)) AND 1 - coalesce(chars, 0)::DOUBLE / greatest(len(t), 1) <= 0.3 AS kept
+       NOT (len(words) < 50 OR 100 * coalesce(n, 0) > 50 * len(words)) AND 1 - coalesce(chars, 0)::DOUBLE / greatest(len(t), 1) <= {quality.MAX_LOSS} AS kept
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
