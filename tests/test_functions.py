@@ -1,6 +1,7 @@
 """Codec, predicates, ids, clocks and the schema log file backend."""
 
 import random
+import struct
 import uuid
 
 import duckdb
@@ -236,3 +237,23 @@ def test_fetch_plan_has_a_cap_for_each_kind(spark):
     assert plan(coverage, 10, own=1) == [(False, 1, 2, 4, 5), (False, 2, 2, 8, 9), (False, 3, 3, 3, 9), (False, 4, 4, 1, 3), (True, 1, 2, 1, 1), (True, 2, 2, 12, 20)]
     assert plan(coverage, 1, own=1) == [(False, 1, 2, 4, 5), (True, 1, 2, 1, 1)]
     assert all(r[0] for r in plan(None, 10)) and len(plan(None, 10)) == 7
+
+
+def test_wire_format():
+    column, table = codec.identity("c"), codec.identity("t")
+    cells = (codec.Cell(column, codec.INT, struct.pack(">q", -3)), codec.Cell(codec.identity("d"), codec.NULL), codec.Cell(codec.identity("e"), 99, b"delta", 2))
+    records = (codec.Record("I", table, b"key", 1, cells), codec.Record("D", table, b"", 300), codec.Record("P", table, b"k", 1, (), column, ((5, b"ab"), (1 << 40, b""))))
+    change = codec.Changeset(7, 1 << 50, 9, records, ((0, 12), (3, 1)), codec.identity("cluster"))
+    data = codec.encode(change)
+    assert codec.decode(data) == change
+    assert data[:42] == b"\x02" + struct.pack(">QQQ", 7, 1 << 50, 9) + codec.identity("cluster") + b"\x02" and data[42:62] == struct.pack(">HQHQ", 0, 12, 3, 1)
+    for i in range(len(data)):
+        with pytest.raises(ValueError):
+            codec.decode(data[:i] + bytes([data[i] ^ 64]) + data[i + 1 :])
+        with pytest.raises(ValueError):
+            codec.decode(data[:i])
+    # the first version: one byte of type, no format, 5 for null
+    payload = b"\x01" + table + b"\x01k\x01\x02" + column + b"\x03\x02hi" + column + b"\x05"
+    head, tail = b"\x01" + struct.pack(">QQQ", 1, 2, 3) + bytes(17), bytes([len(payload)]) + payload
+    old = codec.decode(head + struct.pack(">Q", codec.crc64(head + tail)) + tail)
+    assert old.records == (codec.Record("I", table, b"k", 1, (codec.Cell(column, codec.TEXT, b"hi"), codec.Cell(column, codec.NULL))),)

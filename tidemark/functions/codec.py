@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -108,87 +110,226 @@ def crc64_many(values: Sequence[bytes]) -> list[int]:
     return out
 
 
-def pack_body(head: tuple[int, int, int], records: Sequence[tuple]) -> bytes:
-    """Version, dot, clock and the records (pk, cl, op, cells)."""
-    body = bytearray(b"\x02" + b"".join(map(_write_varint, head)) + _write_varint(len(records)))
-    for pk, cl, op, cells in records:
-        body += struct.pack(">q", pk) + _write_varint(cl) + op.encode() + _write_varint(len(cells))
-        for cell in cells:
-            data = b"" if cell is None else cell.encode()
-            body += bytes([NULL if cell is None else TEXT]) + _write_varint(len(data)) + data
-    return bytes(body)
+class Cell(NamedTuple):
+    """A value of a column on the wire; null has no bytes."""
+
+    column: bytes
+    tag: int
+    value: bytes = b""
+    format: int = 0
+
+
+class Record(NamedTuple):
+    """A record on the wire: cells of inserts and updates, ranges (offset, bytes) of one column of patches."""
+
+    op: str
+    table: bytes
+    pk: bytes
+    cl: int
+    cells: tuple[Cell, ...] = ()
+    column: bytes = b""
+    ranges: tuple[tuple[int, bytes], ...] = ()
+
+
+class Changeset(NamedTuple):
+    """One transaction of one writer; deps are (chain, seq) in order of their chain."""
+
+    origin: int
+    seq: int
+    hlc: int
+    records: tuple[Record, ...] = ()
+    deps: tuple[tuple[int, int], ...] = ()
+    cluster: bytes = bytes(16)
+
+
+#: Fixed values of the wire: versions (the first is only read), the codes of operations, sizes of the header and of a dep, and the tag of null in the first version.
+V1, V2 = 1, 2
+OPS = {"I": 1, "U": 2, "D": 3, "P": 4}
+HEADER, DEP, V1_NULL = 42, 10, 5
+
+
+def frame(change: Changeset) -> tuple[bytes, bytes]:
+    """What stands before the checksum, and what stands behind it."""
+    if len(change.deps) > 255:
+        raise ValueError("too many deps")
+    head = struct.pack(">BQQQ16sB", V2, change.origin, change.seq, change.hlc, change.cluster, len(change.deps))
+    head += b"".join(struct.pack(">HQ", *dep) for dep in sorted(change.deps))
+    body = bytearray()
+    for record in change.records:
+        body.append(OPS[record.op])
+        body += record.table + _write_varint(len(record.pk)) + record.pk + _write_varint(record.cl)
+        if record.op == "P":
+            body += record.column + _write_varint(len(record.ranges))
+            for offset, data in record.ranges:
+                body += _write_varint(offset) + _write_varint(len(data)) + data
+            continue
+        body += _write_varint(len(record.cells))
+        for cell in record.cells:
+            body += cell.column + struct.pack(">IB", cell.tag, cell.format)
+            if cell.tag != NULL:
+                body += _write_varint(len(cell.value)) + cell.value
+    return head, _write_varint(len(body)) + bytes(body)
+
+
+def encode(change: Changeset) -> bytes:
+    head, tail = frame(change)
+    return head + struct.pack(">Q", crc64(head + tail)) + tail
+
+
+class _Reader:
+    """Bytes read in order; running out of them is a ValueError."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, n: int) -> bytes:
+        found = self.data[self.at : self.at + n]
+        if len(found) < n:
+            raise ValueError("the bytes end early")
+        self.at += n
+        return found
+
+    def numbers(self, layout: str) -> tuple:
+        return struct.unpack(layout, self.take(struct.calcsize(layout)))
+
+    def varint(self) -> int:
+        value = shift = 0
+        while True:
+            (byte,) = self.take(1)
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    def sized(self) -> bytes:
+        return self.take(self.varint())
+
+
+def _covered(data: bytes) -> tuple[bytes, int]:
+    """The bytes that the checksum of a changeset is over, and that checksum."""
+    if len(data) < HEADER + 8:
+        raise ValueError("the bytes end early")
+    at = HEADER + DEP * data[HEADER - 1]
+    if len(data) < at + 8:
+        raise ValueError("the bytes end early")
+    return data[:at] + data[at + 8 :], struct.unpack(">Q", data[at : at + 8])[0]
+
+
+def _cell(read: _Reader, version: int) -> Cell:
+    column = read.take(16)
+    if version == V1:
+        (tag,) = read.take(1)
+        if tag == V1_NULL:
+            return Cell(column, NULL)
+        if tag not in (INT, REAL, TEXT, BLOB):
+            raise ValueError("unknown type")
+        return Cell(column, tag, read.sized())
+    tag, form = read.numbers(">IB")
+    return Cell(column, tag, b"" if tag == NULL else read.sized(), form)
+
+
+def decode(data: bytes, checksum: int | None = None) -> Changeset:
+    """The changeset of these bytes; ValueError if they are damaged, cut off, of another version or too many. ``checksum``: what their checksum is, if known."""
+    if not data or data[0] not in (V1, V2):
+        raise ValueError("unknown version")
+    covered, expected = _covered(data)
+    if (crc64(covered) if checksum is None else checksum) != expected:
+        raise ValueError("checksum does not match")
+    read = _Reader(covered)
+    version, origin, seq, hlc, cluster, count = read.numbers(">BQQQ16sB")
+    deps = tuple(read.numbers(">HQ") for _ in range(count))
+    body = _Reader(read.sized())
+    if read.at != len(covered):
+        raise ValueError("bytes behind the payload")
+    names, records = {code: op for op, code in OPS.items()}, []
+    while body.at < len(body.data):
+        (code,) = body.take(1)
+        if code not in names:
+            raise ValueError("unknown operation")
+        op, table, pk = names[code], body.take(16), body.sized()
+        cl = body.varint()
+        if op == "P":
+            column = body.take(16)
+            records.append(Record(op, table, pk, cl, (), column, tuple((body.varint(), body.sized()) for _ in range(body.varint()))))
+            continue
+        cells = tuple(_cell(body, version) for _ in range(body.varint()))
+        if op == "D" and cells:
+            raise ValueError("a delete carries no columns")
+        records.append(Record(op, table, pk, cl, cells))
+    return Changeset(origin, seq, hlc, tuple(records), deps, cluster)
+
+
+def identity(name: str) -> bytes:
+    """The 16-byte id of a column, table or cluster by its name."""
+    return hashlib.md5(name.encode()).digest()
+
+
+def _texts(names: Sequence[str], values: Sequence[str | None]) -> tuple[Cell, ...]:
+    return tuple(Cell(identity(name), NULL) if value is None else Cell(identity(name), TEXT, value.encode()) for name, value in zip(names, values))
 
 
 def pack_changeset(head: tuple[int, int, int], records: Sequence[tuple]) -> bytes:
-    """The body of a changeset and a checksum over all of it."""
-    body = pack_body(head, records)
-    return body + struct.pack("<Q", crc64(body))
+    """The bytes of a changeset (origin, seq, hlc) with records (pk, cl, op, text cells by position)."""
+    made = tuple(Record(op, identity("t"), struct.pack(">q", pk), cl, _texts([str(i) for i in range(len(cells))], cells)) for pk, cl, op, cells in records)
+    return encode(Changeset(*head, made))
 
 
 def unpack_changeset(data: bytes) -> tuple[tuple[int, int, int], list[tuple]]:
-    """Head and records; ValueError for another version, a damaged checksum or bytes left over."""
-    if len(data) < 9 or crc64(data[:-8]) != struct.unpack("<Q", data[-8:])[0]:
-        raise ValueError("checksum does not match")
-    return unpack_body(data[:-8])
+    """Head and records of :func:`pack_changeset`."""
+    change = decode(data)
+    text = lambda cell: None if cell.tag == NULL else cell.value.decode()
+    return tuple(change[:3]), [(struct.unpack(">q", r.pk)[0], r.cl, r.op, tuple(map(text, r.cells))) for r in change.records]
 
 
-def unpack_body(body: bytes) -> tuple[tuple[int, int, int], list[tuple]]:
-    """Head and records of a body whose checksum was right."""
-    if body[0] != 2:
-        raise ValueError("unknown version")
-    at, head = 1, []
-    for _ in range(3):
-        value, at = _read_varint(body, at)
-        head.append(value)
-    count, at = _read_varint(body, at)
-    records = []
-    for _ in range(count):
-        pk = struct.unpack(">q", body[at : at + 8])[0]
-        cl, at = _read_varint(body, at + 8)
-        op = chr(body[at])
-        n, at = _read_varint(body, at + 1)
-        cells = []
-        for _ in range(n):
-            tag = body[at]
-            size, at = _read_varint(body, at + 1)
-            cells.append(None if tag == NULL else body[at : at + size].decode())
-            at += size
-        records.append((pk, cl, op, tuple(cells)))
-    if at != len(body):
-        raise ValueError("bytes behind the last record")
-    return tuple(head), records
-
-
-def encode_changesets(log: DataFrame) -> DataFrame:
-    """(origin, seq, hlc, payload): one changeset for each dot of records (pk, cl, op, a, b, n)."""
-    record = F.struct("pk", "cl", "op", F.array("a", "b", F.col("n").cast("string")).alias("cells"))
-    grouped = log.groupBy("origin", "seq", "hlc").agg(F.array_sort(F.collect_list(record)).alias("records"))
+def encode_changesets(log: DataFrame, table: str = "t", cluster: str = "cluster") -> DataFrame:
+    """(origin, seq, hlc, payload): one changeset for each dot of records (pk, cl, op, a, b, n).
+
+    Registers are carried as :func:`merge.carries` says; a column ``required_schema_seq`` becomes the dep on chain 0.
+    """
+    from tidemark.operators.merge import carries
+
+    names = ("a", "b", "n")
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"), ((F.col("op") != "D") & carries(log, c)).alias("there")) for c in names))
+    need = F.col("required_schema_seq").cast("long") if "required_schema_seq" in log.columns else F.lit(None).cast("long")
+    record = F.struct("pk", "cl", "op", F.filter(cells, lambda c: c["there"]).alias("cells"))
+    grouped = log.groupBy("origin", "seq", "hlc").agg(F.max(need).alias("need"), F.array_sort(F.collect_list(record)).alias("records"))
+    table_id, cluster_id = identity(table), identity(cluster)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            bodies = [pack_body((o, s, h), [(r["pk"], r["cl"], r["op"], tuple(r["cells"])) for r in rs]) for o, s, h, rs in rows.itertuples(index=False)]
-            made = [body + struct.pack("<Q", crc) for body, crc in zip(bodies, crc64_many(bodies))]
-            yield rows[["origin", "seq", "hlc"]].assign(payload=made)
+            frames = []
+            for origin, seq, hlc, need, records in rows.itertuples(index=False):
+                made = tuple(Record(r["op"], table_id, struct.pack(">q", r["pk"]), r["cl"], _texts([c["name"] for c in r["cells"]], [c["value"] for c in r["cells"]])) for r in records)
+                frames.append(frame(Changeset(origin, seq, hlc, made, () if pd.isna(need) else ((0, int(need)),), cluster_id)))
+            sums = crc64_many([head + tail for head, tail in frames])
+            yield rows[["origin", "seq", "hlc"]].assign(payload=[head + struct.pack(">Q", crc) + tail for (head, tail), crc in zip(frames, sums)])
 
     return grouped.mapInPandas(run, "origin long, seq long, hlc long, payload binary")
 
 
 def decode_changesets(payloads: DataFrame) -> DataFrame:
-    """(origin, seq, hlc, pk, cl, op, a, b, n, intact) of every record; damaged payloads give one row that is not intact."""
+    """(origin, seq, hlc, need, pk, cl, op, a, b, n, intact) of every record; damaged payloads give one row that is not intact."""
+    names = {identity(c): c for c in ("a", "b", "n")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["origin", "seq", "hlc", "pk", "cl", "op", "a", "b", "n", "intact"]
+        columns = ["origin", "seq", "hlc", "need", "pk", "cl", "op", "a", "b", "n", "intact"]
         for rows in batches:
-            out = []
-            bodies = [bytes(payload)[:-8] for payload in rows["payload"]]
-            for (origin, seq, hlc, payload), body, crc in zip(rows.itertuples(index=False), bodies, crc64_many(bodies)):
+            out, parts = [], []
+            for payload in rows["payload"]:
+                try:
+                    parts.append(_covered(bytes(payload))[0])
+                except ValueError:
+                    parts.append(b"")
+            for (origin, seq, hlc, payload), crc in zip(rows.itertuples(index=False), crc64_many(parts)):
                 try:
-                    if not body or crc != struct.unpack("<Q", bytes(payload)[-8:])[0]:
-                        raise ValueError("checksum does not match")
-                    head, records = unpack_body(body)
-                    out += [(*head, pk, cl, op, *cells, True) for pk, cl, op, cells in records]
-                except (ValueError, IndexError, struct.error):
-                    out.append((origin, seq, hlc, None, None, None, None, None, None, False))
-            yield pd.DataFrame(out, columns=names).astype({"pk": "Int64", "cl": "Int64"})
-
-    return payloads.select("origin", "seq", "hlc", "payload").mapInPandas(run, "origin long, seq long, hlc long, pk long, cl long, op string, a string, b string, n string, intact boolean")
+                    change = decode(bytes(payload), crc)
+                except ValueError:
+                    out.append((origin, seq, hlc, *[None] * 7, False))
+                    continue
+                for r in change.records:
+                    values = {names[c.column]: None if c.tag == NULL else c.value.decode() for c in r.cells if c.column in names}
+                    out.append((change.origin, change.seq, change.hlc, dict(change.deps).get(0), struct.unpack(">q", r.pk)[0], r.cl, r.op, values.get("a"), values.get("b"), values.get("n"), True))
+            yield pd.DataFrame(out, columns=columns).astype({"pk": "Int64", "cl": "Int64", "need": "Int64"})
+
+    kinds = "origin long, seq long, hlc long, need long, pk long, cl long, op string, a string, b string, n string, intact boolean"
+    return payloads.select("origin", "seq", "hlc", "payload").mapInPandas(run, kinds)

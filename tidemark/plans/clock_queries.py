@@ -207,10 +207,17 @@ def fn4(spark, d):
     return rows.select("l_orderkey", "l_linenumber", codec.decode_tuple(F.col("blob")).alias("decoded"))
 
 
-@query("fn6_changeset_codec", over_log("SELECT origin, seq, hlc, pk, op, true AS intact FROM log"))
+@query(
+    "fn6_changeset_codec",
+    over_log("""SELECT origin, seq, hlc, seq % 100 AS need, pk, op, CASE WHEN op <> 'D' THEN b END AS b, true AS intact,
+        printf('02%016x%016x%016x', origin, seq, hlc) || md5('cluster') || printf('010000%016x', seq % 100) AS head FROM log"""),
+)
 def fn6(spark, d):
-    records = change_log(spark, d).select("origin", "seq", "hlc", "cl", "pk", "op", F.col("a").cast("string").alias("a"), "b", "n")
-    return codec.decode_changesets(codec.encode_changesets(records)).select("origin", "seq", "hlc", "pk", "op", "intact")
+    """Changesets by their bytes: the header as it stands on the wire, and the records read back."""
+    records = change_log(spark, d).select("origin", "seq", "hlc", "cl", "pk", "op", F.col("a").cast("string").alias("a"), "b", "n", (F.col("seq") % 100).alias("required_schema_seq"))
+    payloads = codec.encode_changesets(records)
+    heads = payloads.select("origin", "seq", F.lower(F.hex(F.substring("payload", 1, codec.HEADER + codec.DEP))).alias("head"))
+    return codec.decode_changesets(payloads).select("origin", "seq", "hlc", "need", "pk", "op", "b", "intact").join(heads, ["origin", "seq"])
 
 
 @query("fn7_canonical_values", "SELECT c_custkey, '1:' || cast(c_custkey AS VARCHAR) AS as_int, CASE WHEN c_acctbal < 0 THEN '1:1' ELSE '1:0' END AS as_bool, '3:' || c_name AS as_text, '4:' || lower(hex(encode(c_name))) AS as_blob FROM customer")
