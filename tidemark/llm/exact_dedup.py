@@ -1,23 +1,25 @@
 """Exact duplicates by progressive refinement.
 
-Rows are grouped by the length of their normalised text, then by a hash of its first
-characters, and only rows that still share a group have their whole text read and hashed.
-Each step passes on thin rows (keys and hashes); texts are never shuffled for grouping, and a
-hot group of copies only ever meets a partial aggregate or a join that Spark can split.
+Rows are grouped by the length of their normalised text; rows that share a length, by a hash of
+its first characters as well; and only rows that still share a group have their whole text
+hashed. What survives a step reaches the next scan as a bitmap of fixed size, so texts are read
+in place and only keys and hashes are shuffled. Counts are combined before their shuffle, and
+the copies of a hot text meet their group in a broadcast (see ``spread``).
 
 Texts are equal when they are identical after lower-casing A-Z. Null counts as the empty text.
 Of equal texts the row with the largest key stays; a null key is smaller than all others. Of
 repeated rows with that same key one stays. An empty table gives an empty table. Columns other
-than key and text are ignored.
+than key and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spread import bitmap, flagged, lookup, quoted, without
 from .store import materialize
 
 #: Characters that the second step hashes.
@@ -26,64 +28,67 @@ HEAD = 64
 
 def normalized(text: str | Column) -> Column:
     """Null as empty, A-Z in lower case, everything else as it is."""
-    column = F.col(text) if isinstance(text, str) else text
+    column = quoted(text) if isinstance(text, str) else text
     return F.translate(F.coalesce(column, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def orderable(df: DataFrame) -> list[str]:
-    """The columns of ``df`` that rows can be sorted by."""
-    return [field.name for field in df.schema if not any(t in field.dataType.simpleString() for t in ("map<", "variant"))]
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(normalized(text), 256))
 
 
-def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
-    """(key, text_sha256, keep_id, group_size, repeats) once for each distinct (key, text) whose text has another row; repeats are its rows."""
-    whole = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    thin = materialize(
-        whole.select("key", F.octet_length("text").alias("bytes"), F.xxhash64(normalized(F.substring("text", 1, head))).alias("head")),
-        "exact-thin",
-    )
-    lengths = thin.groupBy("bytes").count().filter("count > 1").select("bytes")
-    heads = thin.join(lengths, "bytes", "left_semi").groupBy("bytes", "head").count().filter("count > 1").select("bytes", "head")
-    survivors = thin.join(heads, ["bytes", "head"], "left_semi").select("key").distinct()
-    full = materialize(
-        whole.join(survivors, whole["key"].eqNullSafe(survivors["key"]), "left_semi").select("key", F.sha2(normalized("text"), 256).alias("text_sha256")),
-        "exact-full",
-    )
-    groups = full.groupBy("text_sha256").agg(F.max("key").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    rows = full.groupBy("key", "text_sha256").agg(F.count("*").alias("repeats"))
-    return rows.join(groups, "text_sha256").select(F.col("key").alias(key), "text_sha256", "keep_id", "group_size", "repeats")
+def _bytes(text: Column) -> Column:
+    return F.octet_length(F.coalesce(text, F.lit("")))
+
+
+def _head(text: Column, head: int) -> Column:
+    return F.xxhash64(_bytes(text), normalized(F.substring(text, 1, head)))
+
+
+def refine(df: DataFrame, text: str = "text", head: int = HEAD) -> DataFrame:
+    """The bitmap of the (length, head) hashes that two rows or more share."""
+    whole = quoted(text)
+    lengths = df.groupBy(_bytes(whole).alias("bytes")).agg(F.count("*").alias("n")).filter("n > 1")
+    shared = bitmap(lengths, F.xxhash64("bytes"))
+    rows = flagged(df.select(whole.alias("text")), F.xxhash64(_bytes(F.col("text"))), shared, "shared").filter("shared")
+    heads = rows.groupBy(_head(F.col("text"), head).alias("head")).agg(F.count("*").alias("n")).filter("n > 1")
+    return bitmap(heads, F.col("head"))
+
+
+def _groups(full: DataFrame) -> DataFrame:
+    """(sha, stays, group_size) of the texts of two rows or more among ``full`` (row, key, sha); stays is the (key, row) that does."""
+    groups = full.groupBy("sha").agg(F.max(F.struct("key", "row")).alias("stays"), F.count("*").alias("group_size"))
+    return groups.filter("group_size > 1")
 
 
-def mark_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mark_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256) for every row of ``df``."""
-    groups = exact_groups(df, key, text).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"), "keep_id", "group_size")
-    rows = df.select(F.col(key).alias("key"), F.sha2(normalized(text), 256).alias("text_sha256"))
-    joined = rows.join(groups, (rows["text_sha256"] == groups["_sha"]) & rows["key"].eqNullSafe(groups["_key"]), "left")
+    rows = df.select(quoted(key).alias("key"), quoted(text).alias("text"))
+    rows = flagged(rows, _head(F.col("text"), head), refine(df, text, head), "survives")
+    full = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "key", _sha(F.col("text")).alias("sha"), "survives"), "exact-full")
+    shared = full.filter("survives").select("row", "key", "sha")
+    joined = lookup(shared, _groups(shared), ["sha"], "group_size", full.count(), "left")
+    alone = F.col("group_size").isNull()
     marked = joined.select(
         "key",
-        F.when(F.col("group_size").isNull(), F.col("key")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.col("key")).otherwise(F.col("stays.key")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        "text_sha256",
+        (alone | (F.col("row") == F.col("stays.row"))).alias("kept"),
+        "sha",
     )
-    # only rows with the key that stays can be kept; the window numbers repeated rows among them
-    stays = F.col("key").eqNullSafe(F.col("keep_id"))
-    turn = F.row_number().over(Window.partitionBy("text_sha256", "key").orderBy("keep_id"))
-    single = marked.filter(~stays | (F.col("group_size") == 1)).withColumn("kept", stays)
-    repeated = marked.filter(stays & (F.col("group_size") > 1)).withColumn("kept", turn == 1)
-    return single.unionByName(repeated).select(F.col("key").alias(key), "keep_id", "group_size", "kept", "text_sha256")
+    single = full.filter("NOT survives").select("key", F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    return single.unionByName(marked).select(F.col("key").alias(key), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def without_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one of each text.
 
     Of repeated rows with the key that stays, the first one by text and then by the other columns stays.
     """
-    stays = F.col(key).eqNullSafe(F.col("keep_id"))
-    found = exact_groups(df, key, text).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"), stays.alias("_stays"), F.col("repeats").alias("_repeats"))
-    found = materialize(found.filter("NOT _stays OR _repeats > 1"), "exact-found")
-    same = df[key].eqNullSafe(found["_key"]) & (F.sha2(normalized(df[text]), 256) == found["_sha"])
-    alone = df.join(found, same, "left_anti")
-    repeated = df.join(found.filter("_stays"), same).select("_key", "_sha", F.struct(*(df[c] for c in df.columns)).alias("_row"))
-    order = F.struct(*(f"_row.`{c}`" for c in [text, *orderable(df)]))
-    one = repeated.groupBy("_key", "_sha").agg(F.min_by("_row", order).alias("_row"))
-    return alone.unionByName(one.select("_row.*"))
+    rows = df.select(quoted(key).alias("key"), quoted(text).alias("text"))
+    rows = flagged(rows, _head(F.col("text"), head), refine(df, text, head), "survives").filter("survives")
+    full = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "key", _sha(F.col("text")).alias("sha")), "exact-full")
+    counted = full.groupBy("key", "sha").agg(F.count("*").alias("repeats"))
+    groups = _groups(full)
+    found = lookup(counted, groups, ["sha"], "group_size", full.count())
+    found = found.select(F.col("key").alias("k"), F.col("sha").alias("mark"), F.col("key").eqNullSafe(F.col("stays.key")).alias("stays"), "repeats")
+    return without(df, quoted(key), _sha(quoted(text)), found.filter("NOT stays OR repeats > 1"), text)
