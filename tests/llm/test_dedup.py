@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, ngram_join, warc
+from tidemark.llm import exact_dedup, ngram_join, spread, warc
 from tidemark.llm.components import components
 
 SCHEMA = "doc_id long, text string"
@@ -157,6 +157,102 @@ def test_ngram_join_of_a_chain_alone(spark):
 PAGES = "page_id long, url string, html string"
 
 
+@pytest.fixture
+def all_paths(monkeypatch):
+    """Tables are too large to broadcast, and keys of two rows are hot."""
+    monkeypatch.setattr(spread, "MOST_HOT", 1)
+    monkeypatch.setattr(spread, "LEAST_HOT", 2)
+
+
+def test_lookup_of_hot_and_cold_keys(spark, all_paths):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 9), (2, 1), (3, 2), (4, 30)) for i in range(n)], "k long, i long")
+    table = spark.createDataFrame([(1, 9, "a"), (2, 1, "b"), (4, 30, "d")], "k long, n long, name string")
+    expected = sorted((k, i, {1: "a", 2: "b", 4: "d"}.get(k)) for k, i in (tuple(r) for r in rows.collect()))
+    found = spread.lookup(rows, table, ["k"], "n", 9, "left").select("k", "i", "name").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+    inner = spread.lookup(rows, table, ["k"], "n", 9).select("k", "i", "name").collect()
+    assert sorted(map(tuple, inner)) == [r for r in expected if r[2]]
+
+
+def test_bitmap_lets_members_through(spark):
+    rows = spark.range(2000).withColumn("h", F.xxhash64("id"))
+    words = spread.bitmap(rows.filter("id % 40 = 0"), F.col("h"))
+    found = spread.flagged(rows.withColumn("_slot", F.lit(1)), F.col("h"), words, "hit")
+    assert found.columns == ["id", "h", "_slot", "hit"] and words.count() <= 50
+    hits = {r["id"] for r in found.filter("hit").collect()}
+    assert hits >= set(range(0, 2000, 40)) and len(hits) < 60
+
+
+def test_components_with_hot_nodes(spark, all_paths):
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(130, 59), (300, 301)]
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted([(i, 0) for i in range(60)] + [(i, 0) for i in range(100, 131)] + [(300, 300), (301, 300)])
+
+
+@pytest.mark.parametrize("seed,settings", [(5, {"FREQUENT": 2, "LONG": 2, "BLOCK_GROUPS": 3, "BLOCK_SETS": 3}), (6, {"FREQUENT": 1, "LONG": 1, "BLOCK_GROUPS": 50}), (7, {"MOST_FREQUENT": 1})])
+def test_ngram_join_by_its_other_paths(spark, monkeypatch, all_paths, seed, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(seed, families=4)
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, found.collect())) == joined(rows)
+
+
+def test_forest_connects_what_may_link():
+    texts = [t for _, t in corpus(9, families=8) if len(shingles(t)) > 3]
+    sets = [ngram_join.np.array(sorted({int.from_bytes(hashlib.sha256(repr(s).encode()).digest()[:8], "big") for s in shingles(t)}), ngram_join.np.uint64) for t in texts]
+    prefixes = [ngram_join._ordered_prefix(s, ngram_join.np.empty(0, ngram_join.np.uint64), 85) for s in sets]
+    shorts = [(p >> ngram_join.np.uint64(48)).astype(ngram_join.np.uint16) for p in prefixes]
+    sizes = ngram_join.np.array([len(s) for s in sets])
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in ngram_join._forest(list(range(len(sets))), sizes, shorts, ngram_join.np.full(len(sets), 2), 85):
+        parent[root(a)] = root(b)
+    exact = [set(s.tolist()) for s in sets]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(exact[a] & exact[b]) >= 85 * len(exact[a] | exact[b])]
+    assert linked and all(root(a) == root(b) for a, b in linked)
+    assert len({root(x) for x in range(len(sets))}) >= 8  # the families stay apart
+
+
+def test_ngram_join_of_ids_that_are_no_numbers(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", text), ("a", text + " x"), ("c", "other words of its own"), (None, text)]
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [("b", 57, "a", 1), ("a", 58, "a", 1), ("c", 2, "c", 0), (None, 57, None, 0)]))
+
+
+def test_near_stage_decides_by_row(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (2, "A b"), (7, base), (3, base + " x"), (7, other), (7, ""), (None, base), (4, None), (9, other + " y"), (9, other + " y")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_mine", F.lit(1)).withColumn("sig", F.lit("clash")).withColumn("Stays", F.lit("clash")).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("1", "a b"), ("3", base + " x"), ("7", other), ("7", ""), ("None", base), ("4", "")])
+    assert ngram_join.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_exact_stage_with_clashing_names_and_hot_groups(spark, all_paths):
+    rows = [(i % 5, f"Text {i % 3}") for i in range(60)] + [(None, "text 0")] * 3 + [(8, "alone")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_mine", F.lit(1)).withColumn("_its", F.lit(1)).withColumn("key", F.lit(2)).withColumn("sha", F.lit(3))
+    kept = exact_dedup.without_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(4, "Text 0"), (4, "Text 1"), (4, "Text 2"), (8, "alone")]
+    marked = exact_dedup.mark_duplicates(docs).collect()
+    assert len(marked) == 64 and sum(r["kept"] for r in marked) == 4 and {r["group_size"] for r in marked} == {1, 20, 23}
+
+
+def test_exact_dedup_shuffles_no_texts(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(30)], SCHEMA)
+    plan = exact_dedup.mark_duplicates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan  # the last steps only read keys and hashes
+
+
 def test_warc_round_trip(spark):
     big = "<p>é" + "x" * 200
     rows = [(5, "http://a/?b=c d\r\nX: y", big), (2, "http://b", big), (9, None, big), (1, "u", None), (3, "u", ""), (4, "v", "short"), (6, "v", "short"), (7, "w", "\r\n\r\nWARC/1.1\r\n" + "y" * 300), (8, "w", "z" * 400000)]
@@ -191,6 +287,41 @@ def test_warc_defined_results(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_warc_shards_by_bytes_whatever_the_ids(spark):
+    rows = [(i, f"u{i}", f"page {i} " * 60) for i in range(200)] + [(10**17, "far", "x" * 300), (None, "n", "y" * 300), (None, "n", "z" * 300)]
+    manifest = warc.write(spark.createDataFrame(rows, PAGES), warc.new_dir(spark, "warc-far"), shard_bytes=10_000)
+    shards = collections.Counter()
+    for r in manifest.collect():
+        shards[r["file"].split("-")[1]] += r["records"]
+    assert len(shards) > 10 and max(shards.values()) < 40 and sum(shards.values()) == len(rows)
+
+
+def test_warc_rolls_by_its_own_defaults(spark):
+    rng = random.Random(1)
+    rows = [(i, f"u{i}", "".join(chr(rng.randint(33, 126)) for _ in range(2000))) for i in range(100)]
+    manifest = warc.write(spark.createDataFrame(rows, PAGES), warc.new_dir(spark, "warc-roll"), shard_bytes=100_000).collect()
+    assert len({r["file"].split("-")[1] for r in manifest}) == 3 and len(manifest) > 6
+
+
+def test_warc_reads_what_the_manifest_lists(spark, tmp_path):
+    rows = [(i, f"u{i}", f"page {i} " * 60) for i in range(9)]
+    folder = f"file://{tmp_path}/a"
+    warc.write(spark.createDataFrame(rows, PAGES), folder)
+    (tmp_path / "a" / "stray.warc.gz").write_bytes(b"no archive")
+    assert sorted(r["page_id"] for r in warc.read(spark, folder).collect()) == list(range(9))
+    (name,) = (f for f in (tmp_path / "a").iterdir() if f.name.startswith("pages-"))
+    data = name.read_bytes()
+    name.write_bytes(data + warc._member(b""))
+    with pytest.raises(Exception, match="not what the manifest says"):
+        warc.read(spark, folder).collect()
+
+
+def test_warc_commit_keeps_no_other_content(spark, tmp_path):
+    (tmp_path / "pages-00000-0000.warc.gz").write_bytes(b"older")
+    with pytest.raises(OSError, match="other content"):
+        warc.write(spark.createDataFrame([(1, "u", "text")], PAGES), f"file://{tmp_path}")
+
+
 def test_uncommitted_archives_are_not_read(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(b"")
     with pytest.raises(FileNotFoundError):

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, spread
 
 SCHEMA = "doc_id long, text string, source string, lang string"
 
@@ -84,3 +84,28 @@ def test_mixed_rows_of_repeated_and_null_ids(spark):
     for row in rows:
         sizes[row[2]] += len(row[1].split())
     assert all(abs(words[s] - targets[sizes[s]]) <= 3 for s in sizes)
+
+
+def test_mixed_rows_with_clashing_names_and_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(spread, "MOST_HOT", 1)
+    monkeypatch.setattr(spread, "LEAST_HOT", 3)
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 40 if i % 3 else 0}", "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_copies", F.lit(1)).withColumn("_copy", F.lit(1)).withColumn("mine", F.lit(1)).withColumn("at", F.lit(1)).withColumn("name", F.lit(1))
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    found = mixing.mixed_rows(docs)
+    assert found.columns == docs.columns
+    assert collections.Counter(r["doc_id"] for r in found.collect()) == {i: n for i, n in copies.items() if n}
+
+
+def test_repeated_rows_take_part_of_an_entry(spark):
+    rows = [(1, "same", "a", "x"), (1, "same", "a", "x"), (1, "same", "a", "x"), (2, "more words", "b", "x")]
+    found = mixing.mixed_rows(spark.createDataFrame(rows, SCHEMA))
+    taken = collections.Counter(r["doc_id"] for r in found.collect())
+    targets = {r["source_size"]: r["target"] for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert abs(taken[1] - targets[3]) <= 0.5 and abs(2 * taken[2] - targets[2]) <= 1
+
+
+def test_no_text_is_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "a", "x") for i in range(30)], SCHEMA)
+    plan = mixing.mixed_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan

@@ -1,41 +1,49 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within its source, documents are dealt into buckets by
-key range and sorted by key inside each bucket (a range sort whose ranges are known, because
-the keys are uniform); sums over the buckets before it plus a running sum inside its own give
-each document the number of words ahead of it. A source takes all its documents as often as
-whole epochs fit its target, and of the last epoch those documents whose middle lies before
-the exact cut, so the taken words miss the target by half a document at most.
+Every document gets a hash-random key. Documents are range-sorted by source and key, and
+distributed prefix sums (see ``placing``) tell how many words lie ahead of each in its source.
+A source takes all its documents as often as whole epochs fit its target, and of the last epoch
+those documents whose middle lies before the exact cut, so the taken words miss the target by
+half a document at most. The documents a source takes once more are the ones up to its cut, so
+one row a source decides for every document, and no text is shuffled.
 
 Targets: the sources share ``share`` times all words in proportion to their weights; no
 source gets more than ``most`` times its own words, and what is over is shared anew.
 
 Defined results: null texts have no words; a null source is a source of its own, sorted last;
-documents with the same key are ordered by size and text hash, and whole repeated rows are
-interchangeable; a source without words takes nothing; an empty table gives an empty table.
+documents with the same key are ordered by size and text hash, and rows that repeat all of it
+are interchangeable: they enter the sort as one entry, of which the cut takes a part; a source
+without words takes nothing; an empty table gives an empty table; other columns are carried
+along by :func:`mixed_rows`, whatever their names, and ignored by :func:`mix`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import orderable
+from tidemark.operators.placing import running
+
+from .spread import fresh, lookup, orderable, quoted
 from .store import materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Rows of one bucket, on average.
-BUCKET_ROWS = 4096
+#: Documents of one range of the sort, on average, when that makes more ranges than a shuffle has partitions.
+BUCKET_ROWS = 1 << 20
 SEED = "mix-1"
 
 
+def _counted(content: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(content, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+
+
 def n_words(text: str) -> Column:
     """Number of words between ASCII white space; null has none."""
-    return F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    return _counted(quoted(text))
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -43,72 +51,87 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
 
     With caps, the targets are ``least(most * size, level * weight)``. Sorted by the level at
     which they reach their cap, sources fill up one after another, so the level is the first
-    one that its own source does not reach, which is the largest of such levels: window sums find it without iterating.
-    The table has one row for each source.
+    one that its own source does not reach, which is the largest of such levels: prefix sums
+    over the sorted sources find it without iterating.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    numbered = sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    numbered = numbered.withColumn("cap", F.col("source_size") * float(most)).withColumn("fill", F.col("cap") / F.col("weight"))
-    everything = Window.partitionBy()
-    before = Window.orderBy("fill", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    levels = numbered.withColumns(
-        {
-            "level": (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-            / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        }
-    )
-    level = F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
-    return levels.select("source", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
-
-
-def _placed(
-    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """(key, source, tie, size, source_size, target, copies) of every row; tie is the hash of its text."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    thin = materialize(
-        df.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), digest.alias("order"), F.xxhash64(text).alias("tie")),
-        "mix-thin",
-    )
-    totals = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    totals = totals.join(targets(totals.select("source", "source_size"), weights, share, most).select(F.col("source").alias("_source"), "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    totals = totals.withColumn("buckets", F.ceil(F.col("rows") / bucket_rows)).select(F.col("source").alias("_source"), "source_size", "target", "buckets")
-    # the leading 32 bits of the key, scaled to the number of buckets of the source
-    bucket = F.shiftright(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.col("buckets"), 32)
-    dealt = thin.join(totals, F.col("source").eqNullSafe(F.col("_source"))).withColumn("bucket", bucket).drop("_source", "buckets")
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
+    last, most_sources = F.col("source").isNull(), sources.count()
+    named = running(sources.select("source", "source_size"), [last, F.col("source")], most=most_sources)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    capped = named.withColumns({"weight": weight, "cap": F.col("source_size") * float(most)}).drop("place").withColumn("fill", F.col("cap") / F.col("weight"))
+    filled = materialize(running(capped, [F.col("fill"), last, F.col("source")], {"caps": "cap", "weights": "weight"}, most=most_sources), "mix-levels")
+    size, weight = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = (F.lit(share * float(size)) - F.col("caps")) / (F.lit(weight) - F.col("weights"))
+    (found,) = filled.agg(F.max(F.when(level <= F.col("fill"), level))).first()
+    return filled.select("source", "source_size", F.least("cap", F.lit(float("inf") if found is None else found) * F.col("weight")).alias("target"))
+
+
+def _facts(key: Column, text: Column, source: Column, seed: str) -> dict[str, Column]:
+    """What decides about a document: its source (null ones named too), and its place in it."""
+    return {
+        "name": F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("source")),
+        "at": F.struct(
+            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")).alias("order"),
+            key.alias("key"),
+            _counted(text).alias("size"),
+            F.xxhash64(text).alias("tie"),
+        ),
+    }
+
+
+def _cuts(thin: DataFrame, weights: Sequence[int], share: float, most: int, bucket_rows: int) -> DataFrame:
+    """One row for each source of ``thin`` (name, at): rows, source_size, target, epochs, and the last entry taken once more (cut) with its rows and how many of them are."""
+    totals = materialize(thin.groupBy("name").agg(F.sum("at.size").alias("source_size"), F.count("*").alias("rows")), "mix-sources")
+    wanted = targets(totals.select(F.when(~F.col("name.none"), F.col("name.source")).alias("source"), "source_size"), weights, share, most)
+    wanted = wanted.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source")).alias("name"), "target")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    placed = placed.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    middle = F.col("ahead") + F.col("inside") + F.col("size") / 2
-    copies = (F.col("epochs") + F.when((F.col("source_size") > 0) & (F.col("epochs") < most) & (middle <= F.col("rest")), 1).otherwise(0)).cast("long")
-    return placed.select("key", "source", "tie", "size", "source_size", "target", copies.alias("copies"))
-
-
-def mix(
-    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
+    totals = totals.join(wanted, "name").withColumn("epochs", epochs)
+
+    # rows that repeat the same place are one entry
+    entries = thin.groupBy("name", "at").agg(F.count("*").alias("repeats")).withColumn("words", F.col("repeats") * F.col("at.size"))
+    total = thin.count()
+    ranges = max(int(thin.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_rows))
+    placed = materialize(running(entries, ["name", "at"], {"ahead": "words"}, ranges=ranges), "mix-placed")
+    starts = placed.groupBy("name").agg(F.min("ahead").alias("start"))
+    bounds = totals.join(starts, "name").withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).select("name", "rows", "start", "rest", "epochs", "source_size")
+    size, left = F.col("at.size"), F.col("rest") - (F.col("ahead") - F.col("start"))
+    fits = F.when(size / 2 > left, 0).when((F.col("repeats") == 1) | (size == 0), F.col("repeats")).otherwise(F.least("repeats", F.floor((left - size / 2) / size) + 1))
+    once_more = lookup(placed, bounds, ["name"], "rows", total).withColumn("fits", fits).filter((F.col("fits") > 0) & (F.col("source_size") > 0) & (F.col("epochs") < most))
+    cut = once_more.groupBy("name").agg(F.max_by(F.struct("at", "fits", "repeats"), "at").alias("cut"))
+    return materialize(totals.join(cut, "name", "left"), "mix-cuts")
+
+
+def _decided(rows: DataFrame, cuts: DataFrame, total: int, order: list[str | Column]) -> DataFrame:
+    """``rows`` (name, at, …) with the columns of their source and ``copies``. Of rows that repeat the entry of the cut, the first ones by ``order`` are taken."""
+    joined = lookup(rows, cuts, ["name"], "rows", total)
+    parted = F.coalesce((F.col("at") == F.col("cut.at")) & (F.col("cut.fits") < F.col("cut.repeats")), F.lit(False))
+    more = F.when(F.col("at") <= F.col("cut.at"), 1).otherwise(0)
+    whole = joined.filter(~parted).withColumn("copies", (F.col("epochs") + more).cast("long"))
+    several = cuts.filter("cut.fits < cut.repeats").agg(F.sum("cut.repeats")).first()[0]
+    if not several:  # every entry that a cut ends with is a single row, or wholly taken
+        return whole
+    turns = materialize(running(joined.filter(parted), ["name", *order], most=several), "mix-turns")
+    first = turns.groupBy("name").agg(F.min("place").alias("first"), F.count("*").alias("parted"))
+    turns = lookup(turns, first, ["name"], "parted", several)
+    turns = turns.withColumn("copies", (F.col("epochs") + F.when(F.col("place") - F.col("first") < F.col("cut.fits"), 1).otherwise(0)).cast("long"))
+    return whole.unionByName(turns.drop("place", "first", "parted"))
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, size, source_size, target, copies, taken) of every row."""
-    placed = _placed(df, key, text, source, weights, share, most, seed, bucket_rows)
-    return placed.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it.
-
-    Rows with one key, source and text are interchangeable, so their copies are counted together.
-    They follow each other in the mix: in each source, the cut parts the rows of one such group at most.
-    """
-    counts = _placed(df, key, text, source).groupBy("key", "source", "tie").agg(F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    counts = materialize(counts.filter("_most > 0").withColumnsRenamed({"key": "_key", "source": "_source", "tie": "_tie"}), "mix-counts")
-    same = df[key].eqNullSafe(counts["_key"]) & df[source].eqNullSafe(counts["_source"]) & (F.xxhash64(df[text]) == counts["_tie"])
-    whole = df.join(counts.filter("_least = _most"), same).withColumn("_copies", F.col("_most"))
-    turn = F.row_number().over(Window.partitionBy("_key", "_source", "_tie").orderBy(*(f"`{c}`" for c in orderable(df))))
-    more = F.when(turn <= F.col("_sum") - F.col("_least") * F.col("_rows"), 1).otherwise(0)
-    parted = df.join(F.broadcast(counts.filter("_least < _most")), same).withColumn("_copies", F.col("_least") + more).filter("_copies > 0")
-    joined = whole.unionByName(parted)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(f"`{c}`" for c in df.columns))
+    facts = _facts(quoted(key), quoted(text), quoted(source), seed)
+    thin = materialize(df.select(*(c.alias(n) for n, c in facts.items()), F.monotonically_increasing_id().alias("row")), "mix-thin")
+    placed = _decided(thin, _cuts(thin, weights, share, most, bucket_rows), thin.count(), ["row"])
+    size = F.col("at.size")
+    return placed.select(F.col("at.key").alias(key), size.alias("size"), "source_size", "target", "copies", (F.col("copies") * size).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it."""
+    facts = _facts(quoted(key), quoted(text), quoted(source), seed)
+    thin = materialize(df.select(*(c.alias(n) for n, c in facts.items())), "mix-thin")
+    (mine,) = fresh(df.columns, "mine")
+    whole = df.select(F.struct(*(quoted(c) for c in df.columns)).alias(mine), *(c.alias(n) for n, c in facts.items()))
+    order = [F.col(mine)[c] for c in orderable(df)]
+    placed = _decided(whole, _cuts(thin, weights, share, most, bucket_rows), thin.count(), order)
+    taken = placed.filter("copies > 0").select(mine, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return taken.select(f"{mine}.*")
