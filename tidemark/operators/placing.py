@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.workspace import materialize
 
 #: Rows that one task may sort, when they are known to be no more.
-FEW = 1 << 16
+FEW = 1 << 12
 _INSIDE = (1 << 33) - 1
 
 
