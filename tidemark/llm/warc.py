@@ -46,7 +46,7 @@ LEAST = 100
 #: Payload bytes of a shard, and how many shards there are at most; larger tables get larger shards.
 SHARD_BYTES, SHARDS = 8 << 20, 20_000
 #: A shard goes on in a new file after this part of its payload bytes, unless a size is given.
-ROLL_PART = 8
+ROLL_PART = 3
 #: What a record has in bytes besides its payload.
 HEAD_BYTES = 500
 
@@ -92,9 +92,9 @@ def _ordered(page_id: Column, digest: Column) -> Column:
 
 def _shards(thin: DataFrame, shard_bytes: int) -> tuple[Column, int, int]:
     """The shard of a row by its ``at``, the number of shards, and the payload bytes of one. At most ``SHARDS`` bounds reach the driver."""
-    rows, total = thin.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    (total,) = thin.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
     goal = max(shard_bytes, -(-total // SHARDS))
-    placed = running(thin.select("at", "size"), ["at"], {"ahead": "size"}, most=rows)
+    placed = running(thin.select("at", "size"), ["at"], {"ahead": "size"})
     starts = placed.groupBy(F.floor(F.col("ahead") / goal).alias("s")).agg(F.min("at").alias("at")).select("at").distinct().sort("at").collect()
     bounds = [(r["at"]["known"], r["at"]["id"], r["at"]["digest"]) for r in starts]
     if len(bounds) < 2:
