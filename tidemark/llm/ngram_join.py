@@ -59,8 +59,8 @@ FREQUENT, MOST_FREQUENT = 64, 1 << 20
 LONG, BLOCK_GROUPS = 64, 512
 #: Sets and shingles of one block of a family.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
-#: Shingles that a task counts before it emits their counts, and counts in one row.
-HELD, PACKED = 1 << 20, 1 << 16
+#: Shingles that a task counts before it emits their counts.
+HELD = 1 << 20
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -77,21 +77,26 @@ def _signature(values: np.ndarray) -> bytes:
 
 
 def _survey(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document (key, tie, n, sig); per task, packed counts (tokens, counts) of shingles, and how many there were (n)."""
-    schema = T.StructType([docs.schema["key"], *T.StructType.fromDDL("tie long, n long, sig binary, tokens binary, counts binary").fields])
+    """Per document (key, tie, n, sig); per task and range of hashes, packed counts (part, tokens, counts) of shingles, and how many there were (n).
+
+    There are as many ranges as scan tasks, so one holds about as many shingles as one task made.
+    """
+    schema = T.StructType([docs.schema["key"], *T.StructType.fromDDL("tie long, n long, sig binary, part int, tokens binary, counts binary").fields])
+    bits = max(1, (docs.rdd.getNumPartitions() - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "tie", "n", "sig", "tokens", "counts"]
+        names = ["key", "tie", "n", "sig", "part", "tokens", "counts"]
         held, size, kind = [], 0, pa.int64()
 
-        def counted() -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            cuts = range(0, len(tokens), PACKED)
-            packed = [tokens[c : c + PACKED].tobytes() for c in cuts], [counts[c : c + PACKED].astype(np.int32).tobytes() for c in cuts]
-            sums = [int(counts[c : c + PACKED].sum()) for c in cuts]
-            empty = [None] * len(sums)
-            columns = (pa.array(empty, kind), pa.array(empty, pa.int64()), pa.array(sums, pa.int64()), *(pa.array(c, pa.binary()) for c in (empty, *packed)))
-            yield pa.RecordBatch.from_arrays(list(columns), names=names)
+            part = (tokens >> np.uint64(64 - bits)).astype(np.int32)
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            pieces = list(zip(np.split(tokens, cuts), np.split(counts.astype(np.int32), cuts)))
+            empty = [None] * len(pieces)
+            columns = [pa.array(empty, kind), pa.array(empty, pa.int64()), pa.array([int(c.sum()) for _, c in pieces], pa.int64()), pa.array(empty, pa.binary())]
+            columns += [pa.array([int(part[0]), *part[cuts].tolist()], pa.int32()), *(pa.array([p[i].tobytes() for p in pieces], pa.binary()) for i in (0, 1))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in slices(batches):
             kind = batch.schema.field(0).type
@@ -101,30 +106,43 @@ def _survey(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sig.append(_signature(values) if len(values) else None)
                 held.append(values[: _counted(len(values), percent)].copy())
                 size += len(held[-1])
-            empty = pa.array([None] * len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), empty, empty], names=names)
+            nothing, empty = pa.array([None] * len(n), pa.int32()), pa.array([None] * len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), nothing, empty, empty], names=names)
             if size >= HELD:
-                yield from counted()
+                yield counted()
                 held, size = [], 0
         if size:
-            yield from counted()
+            yield counted()
 
     return docs.mapInArrow(run, schema)
 
 
 def _frequent(packed: DataFrame) -> np.ndarray:
-    """The frequent shingles, sorted; ``MOST_FREQUENT`` at most."""
+    """The frequent shingles of ``packed`` (n, part, tokens, counts), sorted; ``MOST_FREQUENT`` at most."""
+    total = packed.agg(F.sum("n")).first()[0] or 0
+    least = max(FREQUENT, -(-total // MOST_FREQUENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tokens, counts = None, [], []
+
+        def close() -> pa.RecordBatch:
+            names, at = np.unique(np.concatenate(tokens), return_inverse=True)
+            sums = np.bincount(at, np.concatenate(counts), len(names))
+            return pa.RecordBatch.from_arrays([pa.array(names[sums >= least])], names=["token"])
+
         for batch in batches:
-            for tokens, counts in zip(batch.column(0), batch.column(1)):
-                arrays = [pa.array(np.frombuffer(tokens.as_buffer(), np.int64)), pa.array(np.frombuffer(counts.as_buffer(), np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "c"])
+            for at, some, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if at != part and tokens:
+                    yield close()
+                    tokens, counts = [], []
+                part = at
+                tokens.append(np.frombuffer(some.as_buffer(), np.int64).copy())
+                counts.append(np.frombuffer(n.as_buffer(), np.int32).copy())
+        if tokens:
+            yield close()
 
-    total = packed.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT, -(-total // MOST_FREQUENT))
-    found = packed.select("tokens", "counts").mapInArrow(run, "token long, c int").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    return np.sort(np.asarray(found.select("token").toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
+    found = packed.select("part", "tokens", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(run, "token long")
+    return np.sort(np.asarray(found.toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
 
 
 def _ordered_prefix(values: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -506,7 +524,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     spark = docs.sparkSession
     survey = materialize(_survey(docs, width, percent), "ngram-survey")
     thin = survey.filter("tokens IS NULL").select("key", "tie", "n", "sig")
-    frequent = spark.sparkContext.broadcast(_frequent(survey.filter("tokens IS NOT NULL").select("n", "tokens", "counts")))
+    frequent = spark.sparkContext.broadcast(_frequent(survey.filter("tokens IS NOT NULL")))
     classes = _classes(docs, thin)
     candidates = _candidates(docs, frequent, width, percent)
     frequent.unpersist()
