@@ -1,13 +1,17 @@
 import collections
 import hashlib
+import os
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, ngram_join, spread, warc
+from tidemark.llm import exact_dedup, ngram_join, spread, store, warc
 from tidemark.llm.components import components
+from tidemark.sources import workspace
 
 SCHEMA = "doc_id long, text string"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -102,6 +106,41 @@ def test_ngram_join_equals_all_pairs(spark, monkeypatch, seed, settings):
     assert sorted(map(tuple, found.collect())) == joined(rows)
 
 
+def test_frequent_shingles_are_as_many_as_fit(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 12)
+    counts = {token: 1 for token in range(10_000)} | {token: 70 for token in range(10_000, 10_010)} | {7: 63, 8: 64}
+    parts = [(0, list(counts), list(counts.values())), (0, [5], [1])]
+    rows = [(part, bytearray(np.array(tokens, np.int64).tobytes()), bytearray(np.array(n, np.int32).tobytes())) for part, tokens, n in parts]
+    packed = spark.createDataFrame(rows, "part int, tokens binary, counts binary")
+    # a twelfth of all that were counted is 900, yet eleven shingles were counted 64 times or more
+    assert ngram_join._frequent(packed).tolist() == [8, *range(10_000, 10_010)]
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 10)
+    assert ngram_join._frequent(packed).tolist() == list(range(10_000, 10_010))
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 9)
+    assert ngram_join._frequent(packed).tolist() == []
+
+
+@pytest.mark.parametrize("run", [ngram_join.near_duplicates, ngram_join.one_of_each])
+def test_ngram_join_leaves_no_large_tables(spark, run):
+    before = set(workspace._MADE)
+    found = run(spark.createDataFrame(corpus(5), SCHEMA))
+    made = [path for path in workspace._MADE if path not in before]
+    left = {path.rpartition("/")[2].rpartition("-")[0] for path in made if os.path.exists(path.removeprefix("file://"))}
+    assert len(made) > 10 and not left & {"ngram-survey", "ngram-often", "ngram-prefixes", "ngram-groups", "ngram-members", "ngram-lists", "ngram-pairs", "ngram-long", "ngram-ties", "ngram-expanded"}
+    assert found.count() > 0
+
+
+def test_scratch_tables_keep_no_shuffle_files(spark):
+    files = lambda: {f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = files()
+    table = store.materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert table.count() == 7 and spark.conf.get(store._CLEANUP, "false") == "false"
+    deadline = time.time() + 20
+    while (left := {f for f in files() - before if f.endswith(".data")}) and time.time() < deadline:
+        time.sleep(0.2)
+    assert len(left) <= 1  # that of the count
+
+
 def test_ngram_join_defined_results(spark):
     rows = [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (3, "A B C D E"), (9, None), (8, "z " * 30000)]
     found = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()

@@ -9,8 +9,8 @@ more. The steps, none of which lets the rows of a key grow into pairs:
 2. Shingles are ordered by (frequent, hash); the frequent ones come last, so that passages many
    documents share stay out of prefixes. Linking sets share a shingle among their first
    ``n - ceil(t n) + 1`` ones (the prefix) under any order. A shingle is frequent when it was
-   counted ``FREQUENT`` times or more, and at least once for ``MOST_FREQUENT`` counted ones:
-   there are ``MOST_FREQUENT`` of them at most, which is what is broadcast.
+   counted ``FREQUENT`` times or more; if that holds for more than ``MOST_FREQUENT`` shingles,
+   from the least count on that it holds for no more than so many, which is what is broadcast.
 3. Classes with identical prefixes and size are collapsed into one group. Each prefix shingle
    lists its groups. A short list gives the pairs whose sizes are near enough. They pass if the
    shingles known to differ, from the places of those they share and then from the whole of
@@ -26,6 +26,7 @@ more. The steps, none of which lets the rows of a key grow into pairs:
 6. The verified links make the components.
 
 Every filter only drops pairs that cannot link, so the result is that of comparing all pairs.
+A scratch table is deleted as soon as the tables made from it are written.
 
 Defined results: null and empty texts and texts without words have no shingles and link with
 nothing; rows with a null id have a null component and link with nothing; rows that repeat an id
@@ -49,7 +50,7 @@ from pyspark.sql import types as T
 from .components import components
 from .shingles import shingle_sets
 from .spread import bitmap, flagged, lookup, quoted, without
-from .store import materialize, slices
+from .store import materialize, release, slices
 
 WIDTH = 4
 PERCENT = 85
@@ -77,7 +78,7 @@ def _signature(values: np.ndarray) -> bytes:
 
 
 def _survey(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document (key, tie, n, sig); per task and range of hashes, packed counts (part, tokens, counts) of shingles, and how many there were (n).
+    """Per document (key, tie, n, sig); per task and range of hashes, packed counts (part, tokens, counts) of shingles.
 
     There are as many ranges as scan tasks, so one holds about as many shingles as one task made.
     """
@@ -94,7 +95,7 @@ def _survey(docs: DataFrame, width: int, percent: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(part)) + 1
             pieces = list(zip(np.split(tokens, cuts), np.split(counts.astype(np.int32), cuts)))
             empty = [None] * len(pieces)
-            columns = [pa.array(empty, kind), pa.array(empty, pa.int64()), pa.array([int(c.sum()) for _, c in pieces], pa.int64()), pa.array(empty, pa.binary())]
+            columns = [pa.array(empty, kind), pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(empty, pa.binary())]
             columns += [pa.array([int(part[0]), *part[cuts].tolist()], pa.int32()), *(pa.array([p[i].tobytes() for p in pieces], pa.binary()) for i in (0, 1))]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -118,17 +119,16 @@ def _survey(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _frequent(packed: DataFrame) -> np.ndarray:
-    """The frequent shingles of ``packed`` (n, part, tokens, counts), sorted; ``MOST_FREQUENT`` at most."""
-    total = packed.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT, -(-total // MOST_FREQUENT))
+    """The frequent shingles of ``packed`` (part, tokens, counts), sorted; ``MOST_FREQUENT`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tokens, counts = None, [], []
 
         def close() -> pa.RecordBatch:
             names, at = np.unique(np.concatenate(tokens), return_inverse=True)
-            sums = np.bincount(at, np.concatenate(counts), len(names))
-            return pa.RecordBatch.from_arrays([pa.array(names[sums >= least])], names=["token"])
+            sums = np.bincount(at, np.concatenate(counts), len(names)).astype(np.int64)
+            often = sums >= FREQUENT
+            return pa.RecordBatch.from_arrays([pa.array(names[often]), pa.array(sums[often])], names=["token", "count"])
 
         for batch in batches:
             for at, some, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -141,8 +141,14 @@ def _frequent(packed: DataFrame) -> np.ndarray:
         if tokens:
             yield close()
 
-    found = packed.select("part", "tokens", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(run, "token long")
-    return np.sort(np.asarray(found.toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
+    often = materialize(packed.select("part", "tokens", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(run, "token long, count long"), "ngram-often")
+    # shingles by count; different counts are few, since they add up to the number of all counted shingles at most
+    held = sorted(often.groupBy("count").agg(F.count("*")).collect(), reverse=True)
+    fits = np.cumsum([tokens for _, tokens in held]) <= MOST_FREQUENT
+    least = min((count for (count, _), fit in zip(held, fits) if fit), default=None)
+    found = often.filter(F.col("count") >= least if least is not None else F.lit(False)).select("token").toArrow()
+    release(often)
+    return np.sort(np.asarray(found.column(0).combine_chunks().to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
 
 
 def _ordered_prefix(values: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -494,6 +500,7 @@ def _candidates(docs: DataFrame, frequent, width: int, percent: int) -> DataFram
     prefixes = materialize(_prefixes(docs.filter("key IS NOT NULL"), width, percent, frequent), "ngram-prefixes")
     groups = materialize(prefixes.select("gid", "n", "prefix", "short").distinct(), "ngram-groups")
     members = materialize(prefixes.select("sig", "n", "gid").distinct(), "ngram-members")
+    release(prefixes)
 
     found = materialize(_list_pairs(_entries(groups, False), percent).filter("b IS NULL OR a != b"), "ngram-lists")
     pairs = found.filter("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
@@ -507,24 +514,29 @@ def _candidates(docs: DataFrame, frequent, width: int, percent: int) -> DataFram
     short = groups.select("gid", "short")
     for end in "ab":
         pairs = pairs.join(short.select(F.col("gid").alias(end), F.col("short").alias(f"p{end}")), end)
-    edges = _differ_little(pairs.select("a", "b", "na", "nb", "pa", "pb"), percent)
+    edges = materialize(_differ_little(pairs.select("a", "b", "na", "nb", "pa", "pb"), percent), "ngram-pairs")
 
     long = found.filter("b IS NULL").select("token", F.col("a").alias("gid"), F.col("na").alias("n"))
     long = materialize(long.unionByName(_entries(groups, True).select("token", "gid", "n")), "ngram-long")
+    release(found)
     ties = materialize(_ties(_spread_lists(long, groups, percent), percent), "ngram-ties")
+    release(groups, long)
     families = components(edges.unionByName(ties))
 
     named = members.groupBy("gid").agg(F.count("*").alias("members")).join(families.withColumnRenamed("node", "gid"), "gid", "left").filter("component IS NOT NULL OR members > 1")
     named = named.select("gid", "members", F.coalesce("component", "gid").alias("family"))
-    return materialize(lookup(members, named, ["gid"], "members", members.count()).select("sig", "n", "family"), "ngram-candidates")
+    candidates = materialize(lookup(members, named, ["gid"], "members", members.count()).select("sig", "n", "family"), "ngram-candidates")
+    release(members, edges, ties)
+    return candidates
 
 
 def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For docs (key, tie, text): thin rows (key, tie, n, sig), classes, and the verified (cid, least, links) of linking classes."""
     spark = docs.sparkSession
     survey = materialize(_survey(docs, width, percent), "ngram-survey")
-    thin = survey.filter("tokens IS NULL").select("key", "tie", "n", "sig")
+    thin = materialize(survey.filter("tokens IS NULL").select("key", "tie", "n", "sig"), "ngram-thin")
     frequent = spark.sparkContext.broadcast(_frequent(survey.filter("tokens IS NOT NULL")))
+    release(survey)
     classes = _classes(docs, thin)
     candidates = _candidates(docs, frequent, width, percent)
     frequent.unpersist()
@@ -542,7 +554,9 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     )
     wanted = bitmap(members, F.xxhash64("rep.key", "rep.tie"))
     sets = _packed_sets(flagged(docs, F.xxhash64("key", "tie"), wanted, "wanted").filter("wanted"), width)
-    return thin, classes, materialize(_verify(spread.join(sets, "sig"), percent), "ngram-verified")
+    verified = materialize(_verify(spread.join(sets, "sig"), percent), "ngram-verified")
+    release(members, candidates)
+    return thin, classes, verified
 
 
 def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
