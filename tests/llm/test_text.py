@@ -63,6 +63,21 @@ def test_line_rules(spark, line, fails):
     assert (line not in row["cleaned"].split("\n")) == fails and row["kept"]
 
 
+def test_short_cuts_of_the_line_rules_find_the_same():
+    phrases = ["accept cookies", "accept all cookies", "Cookie Policy", "privacy policy", "terms of use", "terms of service", "All rights reserved", "enable JavaScript", "log in to", "sign in to", "sign up for"]
+    phrases += ["subscribe to our", "click here to", "share this ", "share on ", "follow us on", "back to top", "skip to content", "skip to main content", "lorem ipsum"]
+    for phrase in phrases:
+        for line in (phrase, f"x{phrase.upper()}x", phrase[:-1], phrase[1:], phrase.replace(" ", "  ", 1), f"accept {phrase}"):
+            assert bool(re.search(quality.FURNISHED, line)) == bool(re.search(quality.FURNITURE, line))
+    assert all(re.search(quality.MARKS, mark) for mark in [*quality.SYMBOLS, "!!", "|", ">", ">>", "»", "›", "·", "•", "/"]) and not re.search(quality.MARKS, "a! b? c-d.")
+
+
+def test_lines_of_blanks_have_no_word(spark):
+    text = "\n".join([*prose(6), " \t", "\x0b\x0c\r", " \t", "", "\u3000", "\u3000"])
+    row = quality.assess(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)).first()
+    assert row["n_dup_lines"] == 1 and row["cleaned"] == text and row["loss"] == 0
+
+
 def test_long_clean_lines_stay(spark):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(5000)]

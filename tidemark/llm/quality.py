@@ -41,6 +41,13 @@ FURNITURE = (
     "(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|"
     "(log|sign) in to|sign up for|subscribe to our|click here to|share (this|on) |follow us on|back to top|skip to (main )?content|lorem ipsum)"
 )
+#: What ``FURNITURE`` finds, told apart by first letters; this is only asked whether there is a match.
+FURNISHED = (
+    "(?i)(?=[abceflpst])(?:a(?:ccept (?:all )?cookies|ll rights reserved)|back to top|c(?:ookie policy|lick here to)|enable javascript|follow us on|"
+    "l(?:og in to|orem ipsum)|privacy policy|s(?:ign (?:in to|up for)|ubscribe to our|hare (?:this|on) |kip to (?:main )?content)|terms of (?:use|service))"
+)
+#: A text without one of these has no symbol, doubled exclamation mark or separator.
+MARKS = r"[#*$%&|<>»›·•/]|!!"
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "loss", "cleaned")
 
@@ -113,30 +120,34 @@ def _mostly_repeats(words: Column) -> Column:
     return (F.size(F.array_distinct(words)) * 4 < F.size(words) * 3) & (_covered(windows) * 2 > F.size(words))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether the line, which holds a word, fails a rule."""
+def line_fails(line: Column, marked: Column | None = None) -> Column:
+    """Whether the line, which holds a word, fails a rule.
+
+    ``marked``: whether its text matches ``MARKS``, without which it breaks no rule on symbols or separators.
+    """
+    marked = F.lit(True) if marked is None else marked
     n_words = F.size(F.split(F.trim(line), " +"))
     symbols = _symbols(line) + F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
     punctuation = symbols * SYMBOL_EVERY >= n_words
     navigation = F.length(F.regexp_replace(line, r"(^|\s)(\||>>?|»|›|·|•|/)(?=\s|$)", "$1$2\u0001")) - F.length(line) >= 3
-    furniture = line.rlike(FURNITURE) & (F.regexp_count(line, F.lit(FURNITURE)) * FURNITURE_EVERY >= n_words)
+    furniture = line.rlike(FURNISHED) & (F.regexp_count(line, F.lit(FURNITURE)) * FURNITURE_EVERY >= n_words)
     repeats = F.exists(F.array(_words(line)), lambda w: (F.size(w) >= REPEAT_WORDS) & _mostly_repeats(w))
-    return ((symbols > 0) & punctuation) | navigation | furniture | repeats
+    return (marked & (((symbols > 0) & punctuation) | navigation)) | furniture | repeats
 
 
 def assess(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_loss: float = MAX_LOSS) -> DataFrame:
     """``df`` with the counts, the verdicts and the cleaned text of each row."""
     kept = [c for c in df.columns if c.lower() not in ADDED]
-    whole, word, line, dup, good, repeat = fresh([*kept, *ADDED], "_content", "_words", "_lines", "_dup", "_good", "_repeat")
+    whole, word, line, dup, good, repeat, mark = fresh([*kept, *ADDED], "_content", "_words", "_lines", "_dup", "_good", "_repeat", "_marked")
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = df.select(*(F.col(f"`{c}`") for c in kept), content.alias(whole))
-    rows = _computed(rows, {word: _words(F.col(whole)), line: F.split(whole, "\n")})
-    has_word = lambda line: F.translate(line, BLANKS, "") != ""
+    rows = _computed(rows, {word: _words(F.col(whole)), line: F.split(whole, "\n"), mark: F.rlike(F.col(whole), F.lit(MARKS))})
+    has_word = lambda line: F.btrim(line, F.lit(BLANKS)) != ""
     rows = _computed(
         rows,
         {
             dup: _let(F.filter(line, has_word), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))),
-            good: F.filter(line, lambda line: ~(has_word(line) & line_fails(line))),
+            good: F.filter(line, lambda line: ~(has_word(line) & line_fails(line, F.col(mark)))),
             repeat: repeated_words(word),
         },
     )
