@@ -33,8 +33,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return byte_bpe.digests(byte_bpe.decode(ids, path))
+    return byte_bpe.digests(byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded="decoded"))
 
 
 STAGES = [
@@ -51,6 +50,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the result of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = store.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            store.release(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

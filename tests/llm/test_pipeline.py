@@ -83,6 +83,11 @@ def test_stages_in_order(spark, documents, tmp_path):
     assert whole == sorted(map(tuple, last))
 
 
+def test_last_stage_takes_one_worker_a_task(spark, documents):
+    plan = stage(spark, 4, documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_empty_documents(spark, documents):
     docs = documents.limit(0)
     for number in range(5):

@@ -32,6 +32,15 @@ def test_byte_bpe_equals_the_library(spark):
     assert found == sorted((i, tuple(reference.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
 
 
+def test_decoding_in_the_same_pass(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame(texts(spark)[-60:], SCHEMA).withColumn("decoded", F.lit("clash"))
+    both = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
+    apart = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    rows = lambda df: sorted((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in df.collect())
+    assert rows(both) == rows(apart)
+
+
 def test_digests(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = spark.createDataFrame([(1, "Hello world"), (2, None)], SCHEMA)

@@ -17,6 +17,7 @@ import base64
 import hashlib
 import itertools
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import slices
+from .store import slices, trimmed
 
 #: Bytes of the pre-tokens that a worker keeps encoded, after which it starts anew, and characters of the longest one it keeps.
 CACHE_BYTES, LONGEST = 64 << 20, 64
@@ -133,12 +134,19 @@ def _encoder(model) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the column ``ids`` (array of int): the token ids of ``text``, each match of ``pattern`` encoded separately."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the column ``ids`` (array of int): the token ids of ``text``, each match of ``pattern`` encoded separately.
+
+    With a name for ``decoded``, that column is added too, as ``decode`` makes it of the ids: one
+    worker a task does both then.
+    """
     spark = df.sparkSession
-    model = spark.sparkContext.broadcast(serialize_model(read_ranks(ranks_path)))
-    kept = [f for f in df.schema.fields if f.name != ids]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    ranks = read_ranks(ranks_path)
+    model = spark.sparkContext.broadcast(serialize_model(ranks))
+    tokens = spark.sparkContext.broadcast(ranks) if decoded is not None else None
+    kept = [f for f in df.schema.fields if f.name not in (ids, decoded)]
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.BinaryType())] if decoded is not None else [])]
+    schema = T.StructType([*kept, *added])
     place = [f.name for f in kept].index(text) if text in [f.name for f in kept] else None
     source = df.select(*(F.col(f"`{f.name}`") for f in kept), *([] if place is not None else [F.col(f"`{text}`").alias("_text")]))
 
@@ -163,9 +171,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
             at = offsets[-1]
             flat = pa.Array.from_buffers(pa.int32(), at, [None, pa.py_buffer(b"".join(packed))])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists], names=[*(f.name for f in kept), ids])
+            made = [lists]
+            if tokens is not None:
+                bytes_of = tokens.value.__getitem__
+                made.append(pa.array([b"".join(map(bytes_of, array("i", row))) for row in packed], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 from .components import components
 from .shingles import shingle_sets
 from .spread import bitmap, flagged, lookup, quoted, without
-from .store import materialize, release, slices
+from .store import materialize, release, slices, trimmed
 
 WIDTH = 4
 PERCENT = 85
@@ -115,7 +115,7 @@ def _survey(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if size:
             yield counted()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _frequent(packed: DataFrame) -> np.ndarray:
@@ -141,7 +141,7 @@ def _frequent(packed: DataFrame) -> np.ndarray:
         if tokens:
             yield close()
 
-    often = materialize(packed.select("part", "tokens", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(run, "token long, count long"), "ngram-often")
+    often = materialize(packed.select("part", "tokens", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), "token long, count long"), "ngram-often")
     # shingles by count; different counts are few, since they add up to the number of all counted shingles at most
     held = sorted(often.groupBy("count").agg(F.count("*")).collect(), reverse=True)
     fits = np.cumsum([tokens for _, tokens in held]) <= MOST_FREQUENT
@@ -189,7 +189,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["sig", "n", "gid", "prefix", "short"])
 
-    return docs.select("text").mapInArrow(run, "sig binary, n long, gid long, prefix binary, short binary")
+    return docs.select("text").mapInArrow(trimmed(run), "sig binary, n long, gid long, prefix binary, short binary")
 
 
 def _entries(groups: DataFrame, frequent: bool) -> DataFrame:
@@ -206,7 +206,7 @@ def _entries(groups: DataFrame, frequent: bool) -> DataFrame:
             columns = (tokens, np.repeat(gid, sizes), np.repeat(n, sizes).astype(np.int32), place.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["token", "gid", "n", "place"])
 
-    return groups.select("gid", "n", "prefix").mapInArrow(run, "token long, gid long, n int, place int")
+    return groups.select("gid", "n", "prefix").mapInArrow(trimmed(run), "token long, gid long, n int, place int")
 
 
 def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +263,7 @@ def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
         close()
         yield emit()
 
-    return sorted_.mapInArrow(run, "token long, a long, b long, na int, nb int, i int, j int")
+    return sorted_.mapInArrow(trimmed(run), "token long, a long, b long, na int, nb int, i int, j int")
 
 
 def _differ_little(pairs: DataFrame, percent: int) -> DataFrame:
@@ -287,7 +287,7 @@ def _differ_little(pairs: DataFrame, percent: int) -> DataFrame:
             found = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _spread_lists(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -382,7 +382,7 @@ def _ties(spread: DataFrame, percent: int) -> DataFrame:
         close()
         yield made()
 
-    return dealt.select("block", "side", "gid", "n", "short").mapInArrow(run, "a long, b long")
+    return dealt.select("block", "side", "gid", "n", "short").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _links(ids: list[int], sets: list[np.ndarray], copies: list[int], sides: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -455,7 +455,7 @@ def _packed_sets(docs: DataFrame, width: int) -> DataFrame:
             columns = [[_signature(v) for v in sets], [v.tobytes() for v in sets]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["sig", "packed"])
 
-    return docs.select("text").mapInArrow(run, "sig binary, packed binary")
+    return docs.select("text").mapInArrow(trimmed(run), "sig binary, packed binary")
 
 
 def _verify(members: DataFrame, percent: int) -> DataFrame:
@@ -485,7 +485,7 @@ def _verify(members: DataFrame, percent: int) -> DataFrame:
         if ids:
             yield made()
 
-    return dealt.select("block", "side", "cid", "copies", "packed").mapInArrow(run, "cid long, least long, links long")
+    return dealt.select("block", "side", "cid", "copies", "packed").mapInArrow(trimmed(run), "cid long, least long, links long")
 
 
 def _classes(docs: DataFrame, thin: DataFrame) -> DataFrame:
