@@ -257,3 +257,15 @@ def test_wire_format():
     head, tail = b"\x01" + struct.pack(">QQQ", 1, 2, 3) + bytes(17), bytes([len(payload)]) + payload
     old = codec.decode(head + struct.pack(">Q", codec.crc64(head + tail)) + tail)
     assert old.records == (codec.Record("I", table, b"k", 1, (codec.Cell(column, codec.TEXT, b"hi"), codec.Cell(column, codec.NULL))),)
+
+
+@pytest.fixture
+def unlucky_ties(monkeypatch):
+    """Rows that are equal in the order of a sort come out with those that begin nothing new first."""
+    monkeypatch.setattr(ranges, "running", lambda df, order, **named: placing.running(df, [*order, "_new"], **named))
+
+
+def test_equal_ranges_coalesce_in_any_order_of_the_sort(spark, unlucky_ties):
+    rows = [(1, 0, 5), (1, 10, 15), (1, 10, 15), (1, 10, 15), (1, 20, 22), (1, 20, 22), (2, 10, 15), (2, 10, 15)]
+    found = ranges.coalesce_ranges(spark.createDataFrame(rows, "pk long, start long, end long"), ["pk"])
+    assert sorted((r["pk"], r["start"], r["end"]) for r in found.collect()) == [(1, 0, 5), (1, 10, 15), (1, 20, 22), (2, 10, 15)]

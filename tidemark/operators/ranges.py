@@ -27,7 +27,8 @@ def coalesce_ranges(df: DataFrame, key: Sequence[str], start: str = "start", end
     key = list(key)
     rows = scan(df.select(*key, start, end), key, [start, end], maxes={"_reach": end})
     rows = rows.withColumn("_new", F.coalesce((F.col(start) > F.col("_reach")).cast("int"), F.lit(1)))
-    rows = running(rows, [*key, start, end], sums={"_ahead": "_new"}, place="_place").withColumn("_island", F.col("_ahead") + F.col("_new"))
+    # of equal ranges, the one that begins an island comes before those that go on with it, whatever order the second sort meets them in
+    rows = running(rows, [*key, start, end, F.col("_new").desc()], sums={"_ahead": "_new"}, place="_place").withColumn("_island", F.col("_ahead") + F.col("_new"))
     return rows.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
