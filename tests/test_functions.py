@@ -269,3 +269,10 @@ def test_equal_ranges_coalesce_in_any_order_of_the_sort(spark, unlucky_ties):
     rows = [(1, 0, 5), (1, 10, 15), (1, 10, 15), (1, 10, 15), (1, 20, 22), (1, 20, 22), (2, 10, 15), (2, 10, 15)]
     found = ranges.coalesce_ranges(spark.createDataFrame(rows, "pk long, start long, end long"), ["pk"])
     assert sorted((r["pk"], r["start"], r["end"]) for r in found.collect()) == [(1, 0, 5), (1, 10, 15), (1, 20, 22), (2, 10, 15)]
+
+
+def test_discovered_coverage_holds_equal_files_in_any_order_of_the_sort(spark, unlucky_ties):
+    files = spark.createDataFrame([(1, 1, 4), (1, 8, 9), (1, 8, 9), (1, 20, 30), (1, 20, 30), (2, 8, 9)], "origin long, lo long, hi long")
+    tips, coverage = frontier.discover(files)
+    assert sorted(map(tuple, coverage.collect())) == [(1, 1, 4), (1, 8, 9), (1, 20, 30), (2, 8, 9)]
+    assert sorted(map(tuple, tips.collect())) == [(1, 30), (2, 9)]
