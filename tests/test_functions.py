@@ -276,3 +276,9 @@ def test_discovered_coverage_holds_equal_files_in_any_order_of_the_sort(spark, u
     tips, coverage = frontier.discover(files)
     assert sorted(map(tuple, coverage.collect())) == [(1, 1, 4), (1, 8, 9), (1, 20, 30), (2, 8, 9)]
     assert sorted(map(tuple, tips.collect())) == [(1, 30), (2, 9)]
+
+
+def test_equal_intervals_merge_in_any_order_of_the_sort(spark, unlucky_ties):
+    rows = [(1, 1, 4), (1, 5, 6), (1, 5, 6), (1, 8, 9), (1, 8, 9), (1, 8, 9), (1, 12, 12), (1, 12, 12)]
+    found = frontier.merge_intervals(spark.createDataFrame(rows, "origin long, lo long, hi long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 6), (1, 8, 9), (1, 12, 12)]
