@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import MergeEngine
 from tidemark.functions import clock, codec, ids, predicate
-from tidemark.operators import audit, catalog, frontier, placing, ranges, unique
+from tidemark.operators import audit, capture, catalog, frontier, placing, ranges, unique
 
 
 def test_crc64_of_the_usual_check_text():
@@ -282,3 +282,35 @@ def test_equal_intervals_merge_in_any_order_of_the_sort(spark, unlucky_ties):
     rows = [(1, 1, 4), (1, 5, 6), (1, 5, 6), (1, 8, 9), (1, 8, 9), (1, 8, 9), (1, 12, 12), (1, 12, 12)]
     found = frontier.merge_intervals(spark.createDataFrame(rows, "origin long, lo long, hi long"))
     assert sorted(map(tuple, found.collect())) == [(1, 1, 6), (1, 8, 9), (1, 12, 12)]
+
+
+def records_shuffled(spark):
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def layouts(columns, touches):
+    found = []
+    for touch in {t[0] for t in touches}:
+        pairs = [(o, c) for _, tbl, seq in (t for t in touches if t[0] == touch) for t2, c, o, made, gone in columns if t2 == tbl and seq is not None and made <= seq and (gone is None or gone > seq)]
+        found += [(touch, c, i) for i, (_, c) in enumerate(sorted(pairs), 1)]
+    return sorted(found)
+
+
+def test_layouts_of_touches(spark, monkeypatch):
+    monkeypatch.setattr(capture, "PIECE", 3, raising=False)
+    rng = random.Random(4)
+    columns = [(rng.choice("ab"), i, 50 - i, rng.randint(0, 9), rng.choice([None, 5, 12])) for i in range(40)]
+    # 30 and 31 touch twice, in one table and in two
+    touches = [(i, rng.choice("abc"), rng.choice([None, -1, *range(12)])) for i in range(30)] + [(30, "a", 6), (30, "a", 6), (31, "a", 6), (31, "b", 3)]
+    found = capture.layout_at(spark.createDataFrame(columns, "tbl string, col long, ordinal long, create_seq int, drop_seq int"), spark.createDataFrame(touches, "touch_id long, tbl string, schema_seq int"))
+    assert sorted(map(tuple, found.collect())) == layouts(columns, touches)
+
+
+def test_layouts_shuffle_no_pairs(spark):
+    columns = spark.range(400).selectExpr("'a' AS tbl", "id AS col", "id AS ordinal", "0 AS create_seq", "cast(NULL AS INT) AS drop_seq")
+    touches = spark.range(400).selectExpr("id AS touch_id", "'a' AS tbl", "1 AS schema_seq")
+    before = records_shuffled(spark)
+    assert len(capture.layout_at(columns, touches).collect()) == 160_000
+    assert records_shuffled(spark) - before < 10_000
