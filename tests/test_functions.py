@@ -314,3 +314,26 @@ def test_layouts_shuffle_no_pairs(spark):
     before = records_shuffled(spark)
     assert len(capture.layout_at(columns, touches).collect()) == 160_000
     assert records_shuffled(spark) - before < 10_000
+
+
+def test_a_chain_of_reservations_is_folded_in_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(unique, "CHUNK", 4, raising=False)
+    monkeypatch.setattr(unique, "BLOCK", 20, raising=False)
+    # each transaction asks for a value of the one before, so it is granted if that one is not
+    claims = [(t, o, "k", t + o + 2, t, None) for t in range(30) for o in range(2)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    before = records_shuffled(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = unique.reserve(
+            frame(claims, "txn long, ord int, key string, val long, owner long, prev long"),
+            frame([(1, 9)], "val long, owner long"),
+            frame([], "val long, owner long, until long"),
+            frame([], "val long"),
+            frame([("k",)], "key string"),
+            now=100,
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["txn"]: r["outcome"] for r in found} == serial(claims, {1: 9}, {}, set(), {"k"}, 100)
+    assert records_shuffled(spark) - before < 1_500
